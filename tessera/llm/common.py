@@ -32,14 +32,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/tessera"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and lets shuffle files go."""
-    path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts the lineage.
+
+    free: also asks for the driver's garbage to be collected, upon which Spark removes the shuffle files
+    of plans that are done with.
+    """
     spark, schema = df.sparkSession, df.schema
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
+    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if free:
+        gc.collect()
+        spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
@@ -49,9 +53,10 @@ def distinct_texts(docs: DataFrame, *aggs) -> DataFrame:
     return keyed.groupBy("t1", "t2").agg(F.first("text").alias("text"), *aggs)
 
 
-def with_text_key(docs: DataFrame) -> DataFrame:
+def with_text_key(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, text (null as empty), t1 and t2 (128 hash bits of it) and the named others of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    return docs.select("doc_id", text.alias("text"), *others, F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
 
 
 # ---- arrays -----------------------------------------------------------------------------------

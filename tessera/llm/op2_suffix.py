@@ -113,11 +113,11 @@ def repeated_runs(contents: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes) of each document."""
     texts = lambda: distinct_texts(docs, F.count(F.lit(1)).alias("weight"))
-    anchors = materialize(repeated_anchors(texts(), "bytes", window, GRAM, True), "op2-anchors")
-    found = materialize(candidate_runs(texts(), anchors, "bytes", window, GRAM, "weight"), "op2-runs")
+    anchors = materialize(repeated_anchors(texts(), "bytes", window, GRAM, True), "op2-anchors", free=True)
+    found = materialize(candidate_runs(texts(), anchors, "bytes", window, GRAM, "weight"), "op2-runs", free=True)
     contents = found.groupBy("h", "ch").agg(F.first("content").alias("content"), F.sum(F.col("weight") * F.size("pos")).alias("weight"))
     runs = repeated_runs(contents)
-    spans = materialize(spans_by_text(found.select("t1", "t2", "h", "ch", "pos").join(runs, ["h", "ch"])), "op2-spans")
+    spans = materialize(spans_by_text(found.select("t1", "t2", "h", "ch", "pos").join(runs, ["h", "ch"])), "op2-spans", free=True)
 
     def apply(batches):
         for batch in batches:
