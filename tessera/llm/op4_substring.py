@@ -88,9 +88,10 @@ def remove_known(docs: DataFrame, window: int = WINDOW, with_kept: bool = True,
     owners = with_text_key(docs).groupBy("t1", "t2").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     spans = spans_by_text(joined.where("size(lo) > 0"))
     spans = materialize(spans.join(owners, ["t1", "t2"], "full_outer").select("t1", "t2", "owner", "spans"), "op4-spans", free=True)
-    keyed = with_text_key(docs, *others).join(spans, ["t1", "t2"], "left")
-    keyed = keyed.select("doc_id", "text", *others, (F.col("owner").isNotNull() & (F.col("doc_id") > F.col("owner"))).alias("later"), F.when(F.col("doc_id").isNotNull(), F.col("spans")).alias("spans"))
-    keyed = keyed.select("doc_id", "text", *others, F.coalesce("later", F.lit(False)).alias("later"), F.coalesce("spans", F.array().cast("array<long>")).alias("spans"))
+    rest = [o for o in others if o != "text"]
+    keyed = with_text_key(docs, *rest).join(spans, ["t1", "t2"], "left")
+    keyed = keyed.select("doc_id", "text", *rest, (F.col("owner").isNotNull() & (F.col("doc_id") > F.col("owner"))).alias("later"), F.when(F.col("doc_id").isNotNull(), F.col("spans")).alias("spans"))
+    keyed = keyed.select("doc_id", "text", *rest, F.coalesce("later", F.lit(False)).alias("later"), F.coalesce("spans", F.array().cast("array<long>")).alias("spans"))
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
     return keyed.mapInArrow(_applier(window, with_kept, others), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string" + kinds)
 
