@@ -456,7 +456,7 @@ def q_peer_pick(spark, d):
     return consensus.pick_for(peers, m.ledgers(spark, d), 4, peers.where("failure_count >= 4").select("endpoint"))
 
 
-@query("w_e AS (SELECT '10.0.' || (peer_id % 250) || ':' || (50000 + peer_id) AS endpoint, type <> 'error' AS ok, us // 1000000 AS "at" FROM packets), w_u AS (SELECT endpoint, count(*) FILTER (ok) AS s, count(*) FILTER (NOT ok) AS f, max("at") AS "at" FROM w_e GROUP BY 1) SELECT coalesce(p.endpoint, u.endpoint) AS endpoint, coalesce(success_count, 0) + coalesce(s, 0) AS success_count, coalesce(failure_count, 0) + coalesce(f, 0) AS failure_count, greatest(last_seen_at, "at") AS last_seen_at FROM peers p FULL JOIN w_u u ON p.endpoint = u.endpoint")
+@query("w_e AS (SELECT '10.0.' || (peer_id % 250) || ':' || (50000 + peer_id) AS endpoint, type <> 'error' AS ok, us // 1000000 AS seen FROM packets), w_u AS (SELECT endpoint, count(*) FILTER (ok) AS s, count(*) FILTER (NOT ok) AS f, max(seen) AS seen FROM w_e GROUP BY 1) SELECT coalesce(p.endpoint, u.endpoint) AS endpoint, coalesce(success_count, 0) + coalesce(s, 0) AS success_count, coalesce(failure_count, 0) + coalesce(f, 0) AS failure_count, greatest(last_seen_at, seen) AS last_seen_at FROM peers p FULL JOIN w_u u ON p.endpoint = u.endpoint")
 def q_peer_upsert(spark, d):
     e = m.packets(spark, d).select(F.concat(F.lit("10.0."), (F.col("peer_id") % 250).cast("string"), F.lit(":"), (F.lit(50000) + F.col("peer_id")).cast("string")).alias("endpoint"), (F.col("type") != "error").alias("ok"), F.floor(F.col("us") / 1_000_000).cast("long").alias("at"))
     return consensus.upsert_peers(m.peers(spark, d), e)
