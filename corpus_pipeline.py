@@ -23,12 +23,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (operator 7)."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model, *COLUMNS).where("predicted = 1").select(*COLUMNS)
+    return scored(docs.select(*COLUMNS), model, *COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates (operator 1)."""
-    return one_of_each(docs).select(*COLUMNS)
+    return one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A text that loses no word stays as it is; else its words are joined by single spaces.
     """
-    clean = remove_known(docs, others=("lang", "source", "text"), with_kept=True)
+    clean = remove_known(docs.select(*COLUMNS), others=("lang", "source", "text"), with_kept=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     clean = clean.where("n_removed = 0 or n_removed < n_words").select("doc_id", text.alias("text"), "lang", "source")
     return clean.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
@@ -44,7 +44,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it takes them (operator 3)."""
-    taken = mix(docs, whole=True).where("_passes > 0")
+    taken = mix(docs.select(*COLUMNS), whole=True).where("_passes > 0")
     return taken.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*COLUMNS)
 
 

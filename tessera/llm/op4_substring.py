@@ -77,7 +77,9 @@ def duplicate_runs(contents: DataFrame, window: int) -> DataFrame:
 def remove_known(docs: DataFrame, window: int = WINDOW, with_kept: bool = True, others: tuple = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, if asked for kept (words joined by a space), and the named others of docs."""
     texts = lambda: distinct_texts(docs, F.min("doc_id").alias("owner")).where("owner is not null")
-    anchors = materialize(repeated_anchors(texts(), "words", window, GRAM, False), "op4-anchors", free=True)
+    # Anchors are hashed where the documents lie; only the second pass brings equal texts together.
+    every = with_text_key(docs.where("doc_id is not null")).select("t1", "t2", "text")
+    anchors = materialize(repeated_anchors(every, "words", window, GRAM, False), "op4-anchors", free=True)
     found = materialize(candidate_runs(texts(), anchors, "words", window, GRAM, "owner"), "op4-runs", free=True)
     contents = found.groupBy("h", "ch").agg(F.first("content").alias("content"), F.min("owner").alias("owner"))
     known = duplicate_runs(contents, window).withColumnRenamed("owner", "least")

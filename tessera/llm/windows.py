@@ -128,7 +128,10 @@ def _heads(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_anchors(texts: DataFrame, kind: str, window: int, gram: int, within: bool) -> DataFrame:
-    """t1, t2, hs: the anchors of each text that occur elsewhere, or twice in it if within."""
+    """t1, t2, hs: the anchors of each text that occur elsewhere, or twice in it if within.
+
+    texts may hold exact copies if not within: an anchor counts if it is in two different texts.
+    """
 
     def scan(batches):
         for batch in batches:
@@ -144,7 +147,10 @@ def repeated_anchors(texts: DataFrame, kind: str, window: int, gram: int, within
                 yield pa.record_batch([batch["t1"].take(own), batch["t2"].take(own), lists(value.view(np.int64), count, pa.int64())], names=["t1", "t2", "hs"])
 
     each = texts.mapInArrow(scan, "t1 long, t2 long, hs array<long>").select("t1", "t2", F.explode("hs").alias("h"))
-    twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    if within:
+        twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    else:
+        twice = each.groupBy("h").agg(F.min("t1").alias("low"), F.max("t1").alias("high")).where("low <> high").select("h")
     return each.join(twice, "h", "left_semi").groupBy("t1", "t2").agg(F.collect_set("h").alias("hs"))
 
 
