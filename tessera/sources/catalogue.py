@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 # Fixed values of the format.
 MAGIC = 0x4C544143
-HEADER = struct.Struct("<IIIHHQ64s")
-LEDGER = struct.Struct("<I32s32s32s32sQIIQQ")
+HEADER, HEADER_SIZE = "<IIIHHQ64s", 88
+LEDGER, LEDGER_SIZE = "<I32s32s32s32sQIIQQ", 164
 REMOVE, END = 254, 255
 MOST = 64 << 20  # bytes of one item
 
@@ -30,9 +30,9 @@ ITEMS = "file string, seq long, map string, item_no long, type int, key binary,
 
 def parse_header(data: bytes) -> dict:
     """The file's header; raises on a bad magic, version, range or size."""
-    if len(data) < HEADER.size:
+    if len(data) < HEADER_SIZE:
         raise ValueError("the file is shorter than its header")
-    magic, low, high, version, network, size, digest = HEADER.unpack_from(data)
+    magic, low, high, version, network, size, digest = struct.unpack_from(HEADER, data)
     if magic != MAGIC:
         raise ValueError("not a catalogue file")
     if version & 0xFF != 1:
@@ -45,17 +45,17 @@ def parse_header(data: bytes) -> dict:
 
 
 def body_of(data: bytes) -> bytes:
-    return zlib.decompress(data[HEADER.size :]) if parse_header(data)["level"] else data[HEADER.size :]
+    return zlib.decompress(data[HEADER_SIZE :]) if parse_header(data)["level"] else data[HEADER_SIZE :]
 
 
 def scan(data: bytes) -> Iterator[tuple[str, tuple]]:
     """("ledger", header fields) and ("state" or "tx", (seq, number, type, key, data)) in file order."""
     body, at = body_of(data), 0
     while at < len(body):
-        if at + LEDGER.size > len(body):
+        if at + LEDGER_SIZE > len(body):
             raise ValueError("a ledger header is cut short")
-        ledger = LEDGER.unpack_from(body, at)
-        at += LEDGER.size
+        ledger = struct.unpack_from(LEDGER, body, at)
+        at += LEDGER_SIZE
         yield "ledger", ledger
         for kind in ("state", "tx"):
             n = 0
@@ -84,14 +84,14 @@ def build(ledgers: Iterable[tuple[tuple, list, list]], network: int = 0, level:
     parts, low, high = [], None, 0
     for ledger, state, tx in ledgers:
         low, high = ledger[0] if low is None else low, ledger[0]
-        parts.append(LEDGER.pack(*ledger))
+        parts.append(struct.pack(LEDGER, *ledger))
         for items in (state, tx):
             for kind, key, value in items:
                 parts.append(bytes([kind]) + key + (b"" if kind == REMOVE else struct.pack("<I", len(value)) + value))
             parts.append(bytes([END]))
     body = b"".join(parts)
     body = zlib.compress(body, level) if level else body
-    head = lambda digest: HEADER.pack(MAGIC, low or 0, high, 1 | level << 8, network, HEADER.size + len(body), digest)
+    head = lambda digest: struct.pack(HEADER, MAGIC, low or 0, high, 1 | level << 8, network, HEADER_SIZE + len(body), digest)
     return head(hashlib.sha512(head(bytes(64)) + body).digest()) + body
 
 
@@ -99,7 +99,7 @@ def recompress(data: bytes, level: int) -> bytes:
     """The same ledgers at another level."""
     head, body = parse_header(data), body_of(data)
     body = zlib.compress(body, level) if level else body
-    own = lambda digest: HEADER.pack(MAGIC, head["min"], head["max"], 1 | level << 8, head["network"], HEADER.size + len(body), digest)
+    own = lambda digest: struct.pack(HEADER, MAGIC, head["min"], head["max"], 1 | level << 8, head["network"], HEADER_SIZE + len(body), digest)
     return own(hashlib.sha512(own(bytes(64)) + body).digest()) + body
 
 

@@ -48,11 +48,11 @@ def distinct_validations(packets: DataFrame, trusted: DataFrame | None = None, d
     return votes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["ledger_seq", "validator"])
 
 
-def quorum_events(packets: DataFrame, threshold: int, idle_ms: int = 30_000) -> DataFrame:
-    """ledger_seq, validators, outcome: a row when a ledger first has enough validators, or goes idle without."""
+def quorum_events(packets: DataFrame, threshold: int, idle_ms: int = 30_000, delay: str = RETENTION) -> DataFrame:
+    """ledger_seq, validators, outcome: a row when a ledger first has enough validators, or goes idle (in event time) without."""
 
     def step(key, frames, state: GroupState):
-        seen, done = (set(state.get[0]), state.get[1]) if state.exists else (set(), False)
+        seen, done, last = (set(state.get[0]), state.get[1], state.get[2]) if state.exists else (set(), False, 0)
         if state.hasTimedOut:
             state.remove()
             if not done:
@@ -60,14 +60,16 @@ def quorum_events(packets: DataFrame, threshold: int, idle_ms: int = 30_000) ->
             return
         for frame in frames:
             seen |= set(frame["validator"].tolist())
+            last = max(last, int(frame["ms"].max()))
         if len(seen) >= threshold and not done:
             done = True
             yield pd.DataFrame({"ledger_seq": [key[0]], "validators": [len(seen)], "outcome": ["quorum"]})
-        state.update((sorted(seen), done))
-        state.setTimeoutDuration(idle_ms)
+        state.update((sorted(seen), done, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
 
-    votes = of_type(packets, "purchase", "click").select(F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("ledger_seq"), F.col("peer_id").alias("validator"))
-    return votes.groupBy("ledger_seq").applyInPandasWithState(step, "ledger_seq int, validators long, outcome string", "seen array<long>, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    votes = of_type(packets, "purchase", "click").withWatermark("ts", delay)
+    votes = votes.select(F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("ledger_seq"), F.col("peer_id").alias("validator"), "ts", F.unix_millis("ts").alias("ms"))
+    return votes.groupBy("ledger_seq").applyInPandasWithState(step, "ledger_seq int, validators long, outcome string", "seen array<long>, done boolean, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def proposal_rounds(packets: DataFrame) -> DataFrame:
