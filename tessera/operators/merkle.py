@@ -39,12 +39,18 @@ def depth_for(state: DataFrame) -> int:
     return depth
 
 
-def levels(state: DataFrame, depth: int, algo: str = "sha256") -> list[DataFrame]:
-    """For each level from `depth` - 1 up to 0: path (of that length), hash, leaf (the key of a single leaf, or null)."""
-    nodes = leaves(state, algo).select(F.substring("key", 1, depth).alias("path"), "hash", F.col("key").alias("leaf"))
-    out = [nodes]
+def levels(state: DataFrame, depth: int, algo: str = "sha256", deal: int = 2) -> list[DataFrame]:
+    """For each level from `depth` - 1 up to 0: path (of that length), hash, leaf (the key of a single leaf, or null).
+
+    Rows are dealt once by their first `deal` digits. All levels below group by those digits and the path,
+    for which that is already the right distribution, so only the top levels (16**deal rows) move again.
+    """
+    own = leaves(state, algo)
+    nodes = own.select(F.substring("key", 1, depth).alias("path"), "hash", F.col("key").alias("leaf"), F.substring("key", 1, deal).alias("part")).repartition("part")
+    out = [nodes.drop("part")]
     for d in range(depth - 1, -1, -1):
-        grouped = nodes.groupBy(F.substring("path", 1, d).alias("parent")).agg(
+        keys = ["part"] if d >= deal else []
+        grouped = nodes.groupBy(*keys, F.substring("path", 1, d).alias("parent")).agg(
             F.map_from_entries(F.collect_list(F.struct(F.substring("path", d + 1, 1), "hash"))).alias("at"),  # at most 16
             F.count(F.lit(1)).alias("n"),
             F.min("leaf").alias("leaf"),
@@ -52,8 +58,8 @@ def levels(state: DataFrame, depth: int, algo: str = "sha256") -> list[DataFrame
         )
         slots = [F.coalesce(F.try_element_at("at", F.lit(c)), F.lit(ZERO)) for c in "0123456789abcdef"]
         single = (F.col("n") == 1) & F.col("leaf").isNotNull() & F.lit(d > 0)
-        nodes = grouped.select(F.col("parent").alias("path"), F.when(single, F.col("only")).otherwise(_hash(algo, F.lit("MIN"), *slots)).alias("hash"), F.when(single, F.col("leaf")).alias("leaf"))
-        out.append(nodes)
+        nodes = grouped.select(*keys, F.col("parent").alias("path"), F.when(single, F.col("only")).otherwise(_hash(algo, F.lit("MIN"), *slots)).alias("hash"), F.when(single, F.col("leaf")).alias("leaf"))
+        out.append(nodes.drop("part"))
     return out
 
 
