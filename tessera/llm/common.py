@@ -40,7 +40,7 @@ def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if free:
         gc.collect()
         spark._jvm.System.gc()
