@@ -1,11 +1,12 @@
 """MinHash near-dedup with ProbMinHash signatures.
 
-Texts become weighted sets of five-word shingles (weight 1 + ln of the count). Each shingle is a Poisson
-process of arrivals with its weight as rate; an arrival falls on a component of the signature that its
-shingle has not hit before, and the first arrival on a component gives it its value. A process stops as
-soon as it is later than every component's first arrival. Components of two texts are equal with the
-probability Jaccard of their sets. Bands of components propose pairs; exact similarity of the shingle sets
-(Jaccard, 0.8 or more) decides.
+Texts become sets of five-word shingles. Each shingle is a Poisson process of arrivals with its weight as
+rate; an arrival falls on a component of the signature that its shingle has not hit before, and the first
+arrival on a component gives it its value. A process stops as soon as it is later than every component's
+first arrival. Components of two texts are equal with the probability Jaccard of their sets. Bands of
+components propose pairs; exact similarity of the shingle sets (Jaccard, 0.8 or more) decides. All weights
+are 1, as in the deciding similarity: with weights that grow with a shingle's count, copies that repeat a
+line a different number of times would not share a band.
 
 Exact copies are one text from the start. No bucket's pairs are listed. First every bucket's members meet
 one centre (the member with most company in all its buckets), and the links found make components. Only
@@ -99,13 +100,13 @@ def banded(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for rows, unit, grams, count in shingles(batch["text"]):
+            for rows, unit, grams, _ in shingles(batch["text"]):
                 many = np.bincount(unit, minlength=len(rows))
                 some = np.flatnonzero(many)
                 if not len(some):
                     continue
                 back = np.cumsum(many > 0) - 1
-                own = signatures(back[unit], grams, 1 + np.log(count), len(some))[:, : BANDS * ROWS].reshape(-1, ROWS)
+                own = signatures(back[unit], grams, np.ones(len(grams)), len(some))[:, : BANDS * ROWS].reshape(-1, ROWS)
                 bands = gram_hashes_rows(own).reshape(len(some), BANDS) ^ mix(np.arange(BANDS, dtype=np.uint64))
                 take = pa.array(rows[some])
                 yield pa.record_batch([batch["t1"].take(take), batch["t2"].take(take), pa.array(many[some], pa.int32()), lists(bands.ravel().view(np.int64), np.full(len(some), BANDS), pa.int64())], names=["t1", "t2", "n", "bands"])

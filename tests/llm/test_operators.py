@@ -121,6 +121,17 @@ def test_near_classes(spark):
     assert {0, 1, 2, 3, 7, 8, 11} <= {r["doc_id"] for r in kept}
 
 
+def test_copies_with_other_repeat_counts_are_near(spark):
+    from tessera.llm.op1_minhash import classes
+
+    rows = []
+    for i in range(40):
+        body, line = " ".join(f"b{i}x{j}" for j in range(84)), " ".join(f"l{i}x{j}" for j in range(20))
+        rows += [(2 * i, f"{body} " + f"{line} " * 2), (2 * i + 1, f"{body} " + f"{line} " * 400)]  # equal sets of shingles
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: (d - d % 2, 2) for d, _ in rows}
+
+
 def test_signatures_estimate_probability_jaccard():
     from tessera.llm.op1_minhash import signatures
 
