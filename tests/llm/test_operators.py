@@ -231,6 +231,22 @@ def test_neighbours(spark):
     assert usable(spark.createDataFrame([], "vec_id long, embedding array<double>"))[1] == 0
 
 
+def test_neighbours_of_uneven_norms(spark):
+    from tessera.llm.op6_neighbours import build, search
+
+    x = np.random.default_rng(6).normal(size=(4000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    last = spark.range(4000).selectExpr("id", "xxhash64(id) AS h").orderBy("h", "id").toPandas()["id"].to_numpy()[-40:]
+    x[last] *= 10  # none of these is in the training sample
+    vectors = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(4000)], "vec_id long, embedding array<double>")
+    books, index = build(vectors, 16, sample=2000)
+    hits: dict = {}
+    for r in search(index.where("vec_id % 80 = 0"), index, books).collect():
+        hits.setdefault(r["query_id"], set()).add(r["vec_id"])
+    found = sum(len(hits[q] & set([i for i in np.argsort(-(x @ x[q])) if i != q][:20])) for q in range(0, 4000, 80))
+    assert len(hits) == 50 and found / 1000 >= 0.9
+
+
 def test_quality(spark):
     from tessera.llm.op7_quality import fit, scored
 
