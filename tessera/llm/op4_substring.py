@@ -1,11 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing against reference blocks.
+"""Substring dedup by window look-ups in reference blocks.
 
 Documents meet by the anchors of their windows of 13 words (windows.py). What meets under one anchor is a
 reference block: the different contents there, in order of the smallest doc_id that has them, indexed by
-window. Each content is factored greedily against the block: a factor starts where the window's words are
-found in an earlier document and runs on while its source does. The windows across a factor's end are
-looked up on their own, so that none is missed where two sources meet. Windows in factors, or found at
-their boundaries, are duplicate spans.
+window. Every window of each content is looked up by hash; those found in an earlier document are duplicate
+spans. No relative Lempel-Ziv factors are extended: factors() marks where one would start, but the spans
+do not depend on it.
 
 Nulls count as empty texts. A document with a null doc_id is neither smaller nor larger than another: it
 keeps all words and removes none. Rows with equal doc_id do not remove from each other. An empty table
