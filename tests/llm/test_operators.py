@@ -132,6 +132,24 @@ def test_copies_with_other_repeat_counts_are_near(spark):
     assert got == {d: (d - d % 2, 2) for d, _ in rows}
 
 
+def test_near_classes_are_those_of_all_pairs(spark):
+    from tessera.llm.op1_minhash import classes
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], (r["text"] or "").encode().split()) for r in docs.collect())
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for _, w in rows]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for k, b in enumerate(sets[:i]):
+            common = len(a & b)
+            if common and common >= 0.8 * (len(a) + len(b) - common) - 1e-9 and label[i] != label[k]:
+                low, high = sorted((label[i], label[k]))
+                label = [low if x == high else x for x in label]
+    want = {d: (rows[c][0], label.count(c)) for (d, _), c in zip(rows, label, strict=True)}
+    assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in classes(docs).collect()} == want
+    assert any(n > 1 for _, n in want.values())
+
+
 def test_signatures_estimate_probability_jaccard():
     from tessera.llm.op1_minhash import signatures
 
