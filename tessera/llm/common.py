@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text handled at once by the array code; longer texts are cut into overlapping segments.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
@@ -24,9 +24,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a temporary one only where none is set (tests)."""
+    """The folder all machines share; a temporary one only where none is set and all runs on one machine (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         shared = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/tessera"

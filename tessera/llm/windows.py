@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Rolling, cut, lists, mix, powers, segments, text_bytes, window_runs
+from tessera.llm.common import SEGMENT, Rolling, cut, lists, materialize, mix, powers, segments, text_bytes, window_runs
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -53,7 +53,7 @@ def word_pieces(column: pa.Array, reach: int, limit: int = 1 << 18):
     Yields rows, starts, stops, firsts (all in words), the words' hashes, data and their byte ranges.
     """
     data, offsets = text_bytes(column)
-    size = 1 << 20
+    size = SEGMENT
     i, n = 0, len(offsets) - 1
     while i < n:
         if offsets[i + 1] - offsets[i] <= size:
@@ -183,6 +183,46 @@ def candidate_runs(texts: DataFrame, anchors: DataFrame, kind: str, window: int,
     return joined.mapInArrow(scan, f"t1 long, t2 long, {value} long, h long, ch long, n int, pos array<int>, content binary")
 
 
+def split_hot(found: DataFrame, kind: str, window: int, grams: tuple, value: str, most: int, tag: str) -> DataFrame:
+    """The rows of candidate_runs with no group (h) of over `most` items of different contents.
+
+    Runs of a larger group are cut by a longer anchor within the group, again and again: equal windows still
+    meet, as they choose the same one. The last of grams is the window itself, whose groups hold one content.
+    """
+
+    def cut_runs(gram):
+        def run(batches):
+            for batch in batches:
+                h, pos = batch["h"].to_numpy().view(np.uint64), batch["pos"]
+                values, ends = pos.values.to_numpy(), pos.offsets.to_numpy()
+                for rows, at, size, anchor, content, data, start, stop in runs(kind, batch["content"], window, gram):
+                    for a in range(0, len(rows), 4096):
+                        part = slice(a, a + 4096)
+                        own, count = rows[part], np.diff(ends)[rows[part]]
+                        pick = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ends[own], count)
+                        key = mix(anchor[part] ^ mix(h[own] + np.uint64(gram)))
+                        take = pa.array(own)
+                        yield pa.record_batch(
+                            [batch["t1"].take(take), batch["t2"].take(take), batch[value].take(take), pa.array(key.view(np.int64)), pa.array(content[part].view(np.int64)), pa.array(size[part], pa.int32()), lists(values[pick] + np.repeat(at[part], count), count, pa.int32()), cut(data, start[part], stop[part])],
+                            names=["t1", "t2", value, "h", "ch", "n", "pos", "content"],
+                        )
+
+        return run
+
+    size, done = F.sum(F.col("n").cast("long") + (window - 1)), None
+    for gram in grams:
+        many = found.groupBy("h").agg(size.alias("items")).where(f"items > {most}").select("h")  # copies included
+        kinds = found.select("h", "ch", "n").join(many, "h", "left_semi").groupBy("h", "ch").agg(F.first("n").alias("n"))
+        hot = materialize(kinds.groupBy("h").agg(size.alias("items")).where(f"items > {most}").select("h"), f"{tag}-hot")
+        if hot.isEmpty():
+            break
+        rest = found.join(hot, "h", "left_anti").select("t1", "t2", value, "h", "ch", "n", "pos", "content")
+        done = rest if done is None else done.unionByName(rest)
+        finer = found.join(hot, "h", "left_semi").select(*rest.columns).mapInArrow(cut_runs(gram), rest.schema)
+        found = materialize(finer, tag, free=True)
+    return found if done is None else done.unionByName(found)
+
+
 def bucketed(batches, least: int):
     """Joins rows that are sorted by h into tables of about least bytes of content that cut no h in two."""
     held, size = [], 0

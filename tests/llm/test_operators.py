@@ -70,6 +70,93 @@ def test_merged_transforms_find_repeated_positions():
         assert got.tolist() == want
 
 
+def test_a_wrong_shard_transform_gives_a_wrong_merge():
+    from tessera.llm import op2_suffix as op
+
+    rng = np.random.default_rng(7)
+    one = rng.integers(97, 123, (40, 300), dtype=np.uint8)
+    data = np.concatenate([one, one]).ravel()
+    ends = np.arange(1, 81) * 300
+    ask = lambda: op.repeated_positions(data, ends - 300, ends, np.ones(80, int))
+    right, merge = ask(), op.merge_transforms
+    assert right.reshape(80, 300)[:, :101].all() and not right.reshape(80, 300)[:, 101:].any()
+    try:
+        op.merge_transforms = lambda transforms, passes: merge([rng.permutation(transforms[0]), *transforms[1:]], passes)
+        assert (ask() != right).any()
+    finally:
+        op.merge_transforms = merge
+
+
+def test_merged_transforms_give_common_prefixes():
+    from tessera.llm.op2_suffix import merge_transforms, suffix_order
+
+    rng = np.random.default_rng(8)
+    texts = [[[int(x) for x in rng.integers(1, 3, n)] for n in rng.integers(0, 9, 5)] for _ in range(3)]
+    transforms, suffixes = [], []
+    for s, shard in enumerate(texts):
+        symbols = np.concatenate([[*t, 0] for t in shard]).astype(np.uint16)
+        before, left = np.concatenate([np.arange(len(t) + 1) for t in shard]), np.concatenate([np.arange(len(t), -1, -1) for t in shard])
+        order = suffix_order(symbols, before, left, 1)
+        transforms.append(np.where(before[order] > 0, symbols[np.maximum(order - 1, 0)], 0).astype(np.uint16))
+        for rank, i in enumerate(order):
+            suffixes.append((symbols[i : i + left[i]].tolist(), s, rank))
+    interleave, prefixes = merge_transforms(transforms, 10)
+    want = sorted(suffixes)
+    assert interleave.tolist() == [s for _, s, _ in want]
+    common = [0] + [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for (a, *_), (b, *_) in zip(want[:-1], want[1:])]
+    assert prefixes.tolist() == common
+
+
+def test_split_groups_give_the_same(spark, monkeypatch):
+    from tessera.llm import op2_suffix, op4_substring
+
+    docs, _ = corpus(spark, 3000)
+    rng = random.Random(9)
+    phrase, words = "a phrase of some eleven words that many different texts do share", lambda n: " ".join(str(rng.randrange(1000)) for _ in range(n))
+    rows = [(1000 + i, f"{words(30)} {phrase} {words(30)}", "en", "a", 1, "x", 1, 2, "y", 3) for i in range(60)]
+    rows += [(2000 + i, rows[i][1] + " more", *rows[i][2:]) for i in range(0, 60, 3)]
+    docs = docs.unionByName(spark.createDataFrame(rows, SCHEMA))
+    bytes_, windows = (as_rows(f(docs).drop("kept"), "*") for f in (op2_suffix.remove_repeats, op4_substring.remove_known))
+    monkeypatch.setattr(op2_suffix, "HOT", 700)
+    monkeypatch.setattr(op4_substring, "HOT", 60)
+    assert as_rows(op2_suffix.remove_repeats(docs).drop("kept"), "*") == bytes_
+    assert as_rows(op4_substring.remove_known(docs).drop("kept"), "*") == windows
+
+
+def test_factors_are_greedy_and_decide():
+    from tessera.llm import op4_substring as op
+    from tessera.llm.common import Rolling
+    from tessera.llm.windows import words_in
+
+    rng = random.Random(3)
+
+    def block(texts, owner, window=4):
+        raw = " ".join(texts).encode()
+        stops = np.cumsum([len(t.encode()) + 1 for t in texts])
+        stops[-1] -= 1
+        data = np.frombuffer(raw, np.uint8)
+        first, last, many = words_in(data, np.r_[0, stops[:-1]], stops)
+        ends, count = np.cumsum(many), np.maximum(many - window + 1, 0)
+        unit = np.repeat(np.arange(len(many)), count)
+        at = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count)
+        return op.Block(data, first, last, Rolling(data).of(first, last), at + np.repeat(ends - many, count), unit, np.array(owner), ends, window)
+
+    start, size = op.factors(block(["a b c d e f g", "x a b c d e y z b c d e", "q q q q q"], [1, 2, 3]))
+    assert start.tolist() == [5, 12] and size.tolist() == [5, 4]  # a b c d e; then b c d e
+    for _ in range(200):
+        texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))) for _ in range(6)]
+        owner = [rng.randrange(4) for _ in texts]
+        b = block(texts, owner)
+        least: dict = {}
+        keys = [(tuple(t.split()[i : i + 4]), o) for t, o in zip(texts, owner) for i in range(len(t.split()) - 3)]
+        for k, o in keys:
+            least[k] = min(o, least.get(k, o))
+        assert op.known_windows(b).tolist() == [least[k] < o for k, o in keys]
+    b = block(["a b c d e f g", "x a b c d e y z b c d e"], [1, 2])
+    b.key[:], b.order, b.head, b.keys = 0, np.arange(len(b.at)), np.array([0]), np.zeros(1, np.uint64)  # one hash: words decide
+    assert op.known_windows(b).sum() == 3
+
+
 def test_known_windows(spark):
     from tessera.llm.op4_substring import remove_known
 
