@@ -312,46 +312,81 @@ def test_packing(spark):
     assert packed(docs.limit(0)).count() == 0
 
 
+def nearest_by_force(ids, x, q, nearest=20):
+    """All rows but those of the query's vec_id, by inner product, ties to smaller vec_id."""
+    scores = (x * x[q]).sum(1)
+    order = [i for i in np.lexsort((ids, -scores)) if ids[i] != ids[q]][:nearest]
+    return [(int(ids[i]), float(scores[i])) for i in order]
+
+
 def test_neighbours(spark):
-    from tessera.llm.op6_neighbours import build, search, usable
+    from tessera.llm.op6_neighbours import search, usable
 
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 16))
     x[100:140] = x[100]
-    rows = [(i, [float(v) for v in x[i]], 1) for i in range(600)] + [(700, None, 1), (720, [0.0] * 16, 1), (740, [float("nan")] + [1.0] * 15, 1), (760, [1.0], 1), (780, [None] + [1.0] * 15, 1), (None, [1.0] * 16, 1)]
-    vectors, d = usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int"))
-    assert d == 16 and vectors.count() == 600
-    books, index = build(vectors, d)
+    rows = [(i, [float(v) for v in x[i]], 1, 5) for i in range(600)]
+    odd = [(700, None), (720, [0.0] * 16), (740, [float("nan")] + [1.0] * 15), (760, [1.0]), (780, [None] + [1.0] * 15), (None, [1.0] * 16)]
+    rows += [(i, v, 1, 5) for i, v in odd] + [(40, [float(v) for v in x[40]], 2, 6)]  # a row that is there twice
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, v1 int")
+    assert usable(table)[1] == 16
     got: dict = {}
-    for r in search(index.where("vec_id % 20 = 0"), index, books).collect():
+    for r in search(table, "vec_id % 20 = 0").collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     hits = 0
     for q, found in got.items():
-        s = (x * x[q]).sum(1)
-        order = [i for i in np.lexsort((np.arange(600), -s)) if i != q][:20]
-        hits += len({v for _, v, _ in found} & set(order))
-        assert [r for r, *_ in sorted(found)] == list(range(1, 21))
-        assert all(abs(v - s[i]) < 1e-9 for _, i, v in found)
+        want = nearest_by_force(np.arange(600), x, q)
+        found.sort()
+        assert [r for r, *_ in found] == list(range(1, 21))
+        assert all(abs(s - (x[v] * x[q]).sum()) < 1e-9 for _, v, s in found)
+        hits += len({v for _, v, _ in found} & {v for v, _ in want})
     assert len(got) == 30 and hits / 600 >= 0.9
-    assert usable(spark.createDataFrame([], "vec_id long, embedding array<double>"))[1] == 0
+    # With a shortlist as long as the table the answer is that of brute force, ties and equal vectors included.
+    full = search(table, "vec_id % 20 = 0", most=600)
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in full.collect()} == {(q, k + 1, v) for q in got for k, (v, _) in enumerate(nearest_by_force(np.arange(600), x, q))}
+    assert search(table.limit(0), "vec_id % 20 = 0").count() == 0
+    few = search(table.where("vec_id in (0, 3, 20)"), "vec_id % 20 = 0").collect()
+    assert sorted((r["query_id"], r["vec_id"]) for r in few) == [(0, 3), (0, 20), (20, 0), (20, 3)]
+
+
+def test_neighbours_that_share_a_vec_id(spark):
+    from tessera.llm.op6_neighbours import search
 
+    x = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [0.5, 3.0])]
+    got = search(spark.createDataFrame(x, "vec_id long, embedding array<double>"), "vec_id = 0").collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 1, 2.0), (1, 1, 3.0), (2, 1, 0.5), (2, 1, 1.0)]
 
-def test_neighbours_of_uneven_norms(spark):
-    from tessera.llm.op6_neighbours import build, search
 
+def test_neighbours_of_uneven_norms(spark, monkeypatch):
+    from tessera.llm import op6_neighbours
+
+    monkeypatch.setattr(op6_neighbours, "ROW_BLOCK", 1500)  # several blocks of rows and queries
+    monkeypatch.setattr(op6_neighbours, "QUERY_BLOCK", 20)
     x = np.random.default_rng(6).normal(size=(4000, 16))
     x /= np.linalg.norm(x, axis=1)[:, None]
     last = spark.range(4000).selectExpr("id", "xxhash64(id) AS h").orderBy("h", "id").toPandas()["id"].to_numpy()[-40:]
     x[last] *= 10  # none of these is in the training sample
     vectors = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(4000)], "vec_id long, embedding array<double>")
-    books, index = build(vectors, 16, sample=2000)
     hits: dict = {}
-    for r in search(index.where("vec_id % 80 = 0"), index, books).collect():
+    for r in op6_neighbours.search(vectors, "vec_id % 80 = 0", sample=2000, most=100).collect():
         hits.setdefault(r["query_id"], set()).add(r["vec_id"])
-    found = sum(len(hits[q] & set([i for i in np.argsort(-(x @ x[q])) if i != q][:20])) for q in range(0, 4000, 80))
+    found = sum(len(hits[q] & {v for v, _ in nearest_by_force(np.arange(4000), x, q)}) for q in range(0, 4000, 80))
     assert len(hits) == 50 and found / 1000 >= 0.9
 
 
+def test_codes_hold_what_was_not_trained_on():
+    from tessera.llm.op6_neighbours import SAMPLE, best_codes, encode, train, units
+
+    x, norm = units(np.random.default_rng(11).normal(size=(12_000, 64)))  # the hardest case: no structure at all
+    books = train(x[: SAMPLE // 4])
+    codes = encode(books, x)
+    tables = np.einsum("mkd,qd->mkq", books, x[-100:])
+    found, near = best_codes(tables, codes, np.ones(len(x), np.float32), 240)
+    assert np.allclose(near[0, :5], sum(books[m][codes[found[0, :5], m]] for m in range(len(books))) @ x[-100], atol=1e-4)
+    true = np.argsort(-(x[-100:] @ x.T), axis=1)[:, 1:21]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(true.tolist(), found.tolist())]) >= 0.9
+
+
 def test_quality(spark):
     from tessera.llm.op7_quality import fit, scored
 
