@@ -51,10 +51,11 @@ class Encoder:
         self.slow = Tokenizer.from_file(folder_of(name + ".json"))
         self.special = re.compile("|".join(re.escape(t.content) for t in self.slow.get_added_tokens_decoder().values()) or r"(?!)")
         self.spaces = re.compile(r"\s\s")
+        self.many_spaces = re.compile(r"\s{4096}")  # the fast encoder's pattern gives up on very long runs
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids of a text, and END_ID after them."""
-        if self.special.search(text):  # the strings of special tokens have ids of their own
+        if self.special.search(text) or self.many_spaces.search(text):  # the strings of special tokens have ids of their own
             ids = self.slow.encode(text, add_special_tokens=False).ids
         else:
             ids = (self.any if self.spaces.search(text) else self.plain).encode_to_numpy(text, disallowed_special=())
