@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text handled at once by the array code; longer texts are cut into overlapping segments.
 SEGMENT = 1 << 18
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15
+_BASE_INV = pow(BASE, -1, 1 << 64)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,7 +102,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         _TABLES["byte"] = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
     if len(_TABLES.get("pw", ())) < n:
         with np.errstate(over="ignore"):
-            for key, base in (("pw", _BASE), ("ipw", _BASE_INV)):
+            for key, base in (("pw", BASE), ("ipw", _BASE_INV)):
                 a = np.full(n + 1024, base, dtype=np.uint64)
                 a[0] = 1
                 _TABLES[key] = np.cumprod(a)

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SEGMENT, Rolling, read, segments, text_bytes
-from tessera.llm.windows import words_in
+from tessera.llm.common import BASE, SEGMENT, Rolling, read, text_bytes
+from tessera.llm.windows import _SPACE, words_in
 
 #: The most labelled rows that train; with more, those of least hash are taken.
 SAMPLE = 20_000
@@ -45,81 +45,125 @@ def _kinds() -> np.ndarray:
     return kind
 
 
+def _sums(part: np.ndarray, starts: np.ndarray, stops: np.ndarray):
+    """What adds up over the parts of a text, for adjoining texts part[starts[i]:stops[i]] from 0 on; and their words.
+
+    Returns a row of sums for each text (bytes of each kind, bars, exclaims, bytes, words, and of words: bytes,
+    with symbols, upper, short, long, ends of sentences, titles), the words' hashes, their texts and the hashes' source.
+    """
+    kinds, n = _kinds(), len(starts)
+    some = np.flatnonzero(stops > starts)
+    out = np.zeros((n, 18))
+
+    def total(column, x):
+        out[some, column] = np.add.reduceat(x, starts[some], dtype=np.float64)
+
+    if len(some):
+        for k in range(7):
+            total(k, kinds[k][part])
+        total(7, part == 0x7C)
+        total(8, part == 0x21)
+    out[:, 9] = stops - starts
+    roll = Rolling(part)
+    first, last, count = words_in(part, starts, stops)
+    owner = np.repeat(np.arange(n), count)
+    out[:, 10] = count
+    if len(first):
+        symbols = np.concatenate([[0], np.cumsum(kinds[4][part], dtype=np.float64)])
+        uppers = np.concatenate([[0], np.cumsum(kinds[0][part], dtype=np.float64)])
+        length = (last - first).astype(float)
+        each = (length, symbols[last] > symbols[first], uppers[last] - uppers[first] > 0.6 * length, length < 4, length > 10, np.isin(part[last - 1], np.frombuffer(b".!?", np.uint8)), kinds[0][part[first]])
+        for k, x in enumerate(each):
+            out[:, 11 + k] = np.bincount(owner, x, n)
+    return out, roll.of(first, last), owner, roll
+
+
+def _distinct(keys: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    _, at = np.unique(keys, return_index=True)
+    return np.bincount(owners[at], minlength=n)
+
+
+def _ratios(sums: np.ndarray, distinct_words, same, distinct_pairs, lines, distinct_lines) -> np.ndarray:
+    """The features of texts from their sums and counts."""
+    out = np.zeros((len(sums), len(FEATURES)))
+    size, count = sums[:, 9], sums[:, 10]
+    per_byte, words = sums[:, :7] / np.maximum(size, 1)[:, None], np.maximum(count, 1)
+    out[:, 0], out[:, 1], out[:, 2] = np.log1p(size), np.log1p(count), sums[:, 11] / words
+    out[:, 3:9] = per_byte[:, :6]
+    out[:, 9] = np.log1p(count / np.maximum(lines, 1))
+    out[:, 10:14] = sums[:, 12:16] / words[:, None]
+    out[:, 14], out[:, 15], out[:, 16] = distinct_words / words, same / words, distinct_pairs / words
+    out[:, 17], out[:, 18], out[:, 19] = sums[:, 7] / words, sums[:, 8] / words, sums[:, 16] / words
+    out[:, 20], out[:, 21] = np.log1p(lines), distinct_lines / np.maximum(lines, 1)
+    out[:, 22], out[:, 23] = sums[:, 17] / words, per_byte[:, 6]
+    return out
+
+
+_OWNER, _BEFORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _word_counts(hashes: np.ndarray, owner: np.ndarray, n: int):
+    """Different words, words equal to the one before, and different pairs of neighbours of each text."""
+    own = hashes ^ (owner.astype(np.uint64) * _OWNER)
+    follows = np.r_[False, owner[1:] == owner[:-1]][: len(owner)]
+    before = np.where(follows, np.r_[np.uint64(0), hashes[:-1]][: len(hashes)], np.uint64(0))
+    same = np.bincount(owner, follows & (before == hashes), n)
+    return _distinct(own, owner, n), same, _distinct(own ^ (before * _BEFORE), owner, n)
+
+
+def _long_features(text: np.ndarray, size: int) -> np.ndarray:
+    """The features of one long text, read in parts that end before white space."""
+    sums, hashes, lines, open_, at = np.zeros((1, 18)), [], [], None, 0
+    while at < len(text):
+        stop = min(at + size, len(text))
+        while stop < len(text) and not _SPACE[text[stop]]:
+            ahead = np.flatnonzero(_SPACE[text[stop : stop + size]])
+            stop = stop + int(ahead[0]) if len(ahead) else min(stop + size, len(text))
+        part = text[at:stop]
+        more, own, _, roll = _sums(part, np.array([0]), np.array([len(part)]))
+        sums += more
+        hashes.append(own)
+        edge = np.unique(np.r_[0, np.flatnonzero(part == 10) + 1, len(part)])
+        begin, end = edge[:-1], edge[1:]
+        raw = (roll.sums[end] - roll.sums[begin]) * roll.ipw[begin]
+        if open_ is not None:  # a line that began in a part before
+            raw[:1] = raw[:1] * np.uint64(pow(BASE, open_[1], 1 << 64)) + open_[0]
+        if part[-1] != 10 and stop < len(text):
+            open_ = raw[-1], int(end[-1] - begin[-1]) + (open_[1] if open_ is not None and len(raw) == 1 else 0)
+            raw = raw[:-1]
+        else:
+            open_ = None
+        lines.append(raw)
+        at = stop
+    words, lines = np.concatenate(hashes), np.concatenate(lines)
+    counts = _word_counts(words, np.zeros(len(words), np.int64), 1)
+    return _ratios(sums, *counts, np.array([len(lines)]), np.array([len(np.unique(lines))]))
+
+
 def features(column: pa.Array) -> np.ndarray:
-    """A row of numbers for each text of a column without nulls. Long texts are measured in segments and averaged."""
+    """A row of numbers for each text of a column without nulls. Long texts are read in parts; the numbers are the whole text's."""
     data, offsets = text_bytes(column)
-    n = len(offsets) - 1
-    out, weight = np.zeros((n, len(FEATURES))), np.zeros(n)
-    kinds = _kinds()
-    for rows, starts, stops, _ in segments(offsets, 1, SEGMENT // 2):
-        base = int(starts[0])
-        part = data[base : int(stops[-1])]
-        size = (stops - starts).astype(float)
-        if not len(part):
+    out, size, i = np.zeros((len(offsets) - 1, len(FEATURES))), SEGMENT, 0
+    while i < len(out):
+        if offsets[i + 1] - offsets[i] > size:
+            out[i] = _long_features(data[offsets[i] : offsets[i + 1]], size)
+            i += 1
             continue
-        starts, stops = starts - base, stops - base
-        some = np.flatnonzero(stops > starts)
-        seg = np.zeros((len(rows), len(FEATURES)))
-
-        def total(x, some=some, starts=starts, rows=rows):
-            sums = np.zeros(len(rows))
-            sums[some] = np.add.reduceat(x, starts[some])
-            return sums
-
-        per_byte = np.stack([total(kinds[k][part]) for k in range(7)], 1) / np.maximum(size, 1)[:, None]
-        first, last, count = words_in(part, starts, stops)
-        ends = np.cumsum(count)
-        begin, busy = ends - count, np.flatnonzero(count)
-
-        def per_word(x, begin=begin, busy=busy, rows=rows, count=count):
-            sums = np.zeros(len(rows))
-            if len(busy):
-                sums[busy] = np.add.reduceat(x, begin[busy])
-            return sums / np.maximum(count, 1)
-
-        roll = Rolling(part)
-        hashes = roll.of(first, last)
-        owner = np.repeat(np.arange(len(rows)), count)
-        length = (last - first).astype(float)
-        head, tail = part[first] if len(first) else part[:0], part[last - 1] if len(last) else part[:0]
-        cum = np.concatenate([[0], np.cumsum(kinds[4][part], dtype=np.float64)])
-        up = np.concatenate([[0], np.cumsum(kinds[0][part], dtype=np.float64)])
-        own_key = hashes ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        same = np.r_[False, own_key[1:] == own_key[:-1]].astype(float)[: len(own_key)]
-        pair = own_key ^ (np.r_[np.uint64(0), hashes[:-1]][: len(hashes)] * np.uint64(0xC2B2AE3D27D4EB4F))
-
-        def distinct(keys, owners, rows=rows):
-            _, at = np.unique(keys, return_index=True)
-            return np.bincount(owners[at], minlength=len(rows))
-
-        breaks = np.zeros(len(part) + 1, bool)
-        breaks[starts] = True
-        breaks[np.flatnonzero(part == 10) + 1] = True
-        breaks[-1] = True
-        edge = np.flatnonzero(breaks)
-        line_owner = np.searchsorted(stops, edge[:-1], "right")
-        lines = np.bincount(line_owner, minlength=len(rows))
-        line_hash = roll.of(edge[:-1], edge[1:]) ^ (line_owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        words = np.maximum(count, 1)
-        seg[:, 0], seg[:, 1] = np.log1p(size), np.log1p(count)
-        seg[:, 2] = per_word(length)
-        seg[:, 3:9] = per_byte[:, :6]
-        seg[:, 9] = np.log1p(count / np.maximum(lines, 1))
-        seg[:, 10] = per_word((cum[last] - cum[first] > 0).astype(float))
-        seg[:, 11] = per_word((up[last] - up[first] > 0.6 * length).astype(float))
-        seg[:, 12], seg[:, 13] = per_word((length < 4).astype(float)), per_word((length > 10).astype(float))
-        seg[:, 14] = distinct(own_key, owner) / words
-        seg[:, 15] = per_word(same)
-        seg[:, 16] = distinct(pair, owner) / words
-        seg[:, 17], seg[:, 18] = total((part == 0x7C).astype(float)) / words, total((part == 0x21).astype(float)) / words
-        seg[:, 19] = per_word(np.isin(tail, np.frombuffer(b".!?", np.uint8)).astype(float))
-        seg[:, 20] = np.log1p(lines)
-        seg[:, 21] = distinct(line_hash, line_owner) / np.maximum(lines, 1)
-        seg[:, 22] = per_word(kinds[0][head].astype(float))
-        seg[:, 23] = per_byte[:, 6]
-        np.add.at(out, rows, seg * size[:, None])
-        np.add.at(weight, rows, size)
-    return out / np.maximum(weight, 1)[:, None]
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
+        n, starts, stops = j - i, offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i]
+        part = data[offsets[i] : offsets[j]]
+        if len(part):
+            sums, hashes, owner, roll = _sums(part, starts, stops)
+            breaks = np.zeros(len(part) + 1, bool)
+            breaks[starts] = True
+            breaks[np.flatnonzero(part == 10) + 1] = True
+            breaks[-1] = True
+            edge = np.flatnonzero(breaks)
+            line_owner = np.searchsorted(stops, edge[:-1], "right")
+            line_hash = roll.of(edge[:-1], edge[1:]) ^ (line_owner.astype(np.uint64) * _OWNER)
+            out[i:j] = _ratios(sums, *_word_counts(hashes, owner, n), np.bincount(line_owner, minlength=n), _distinct(line_hash, line_owner, n))
+        i = j
+    return out
 
 
 # ---- the model ----------------------------------------------------------------------------------
@@ -222,7 +266,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     order = F.xxhash64(F.lit(7), "doc_id")
     chosen = known.select("doc_id", "y").orderBy(order, "doc_id").limit(sample)
     # chosen has at most `sample` rows of two numbers, so it may be sent to every task.
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    # Of rows with one doc_id the text of least hash counts, so that training again gives the same model.
+    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    known = known.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = measured(known, "doc_id", "y").toPandas().sort_values("doc_id")
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     return train(x, rows["y"].to_numpy(float))

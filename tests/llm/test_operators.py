@@ -349,6 +349,31 @@ def test_neighbours(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in few) == [(0, 3), (0, 20), (20, 0), (20, 3)]
 
 
+def test_ids_of_very_long_runs():
+    import public_tokenizers
+
+    from tessera.llm.op5_packing import Encoder
+
+    encode = Encoder("byte_bpe_50k", public_tokenizers.path)
+    for text in (" " * 1_000_000, "a" + "\n" * 70_000 + " b", "x" * 200_000, "é \t" * 50_000):
+        assert encode(text)[:-1].tolist() == encode.slow.encode(text, add_special_tokens=False).ids
+
+
+def test_packs_are_full():
+    from tessera.llm.op5_packing import pack
+
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        lengths = np.r_[rng.integers(1, 400, 200), rng.integers(1, 9000, 20), np.full(30, 2048), np.full(9, 700)]
+        pieces = pack(lengths)
+        filled: dict = {}
+        for d, start, n, s, offset in sorted(pieces, key=lambda p: (p[3], p[4])):
+            assert filled.get(s, 0) == offset and 0 < n <= 2048
+            filled[s] = offset + n
+        assert sorted((d, start) for d, start, *_ in pieces) == sorted({(d, start) for d, start, *_ in pieces})
+        assert sum(filled.values()) == lengths.sum() and 2048 * len(filled) - lengths.sum() < 2048  # padding
+
+
 def test_neighbours_that_share_a_vec_id(spark):
     from tessera.llm.op6_neighbours import search
 
@@ -405,6 +430,49 @@ def test_quality(spark):
     assert scored(table, fit(table, labels.limit(0)), "doc_id").first()["score"] == 0.5
 
 
+def plain_features(text: str) -> dict:
+    """Features of a text, one at a time."""
+    raw = text.encode()
+    words, n = raw.split(), max(len(raw.split()), 1)
+    lines = [x for x in raw.replace(b"\n", b"\n\0").split(b"\0") if x]
+    upper = lambda w: sum(65 <= c <= 90 for c in w)
+    return {
+        "log_bytes": np.log1p(len(raw)), "log_words": np.log1p(len(words)), "word_bytes": sum(map(len, words)) / n, "upper": upper(raw) / max(len(raw), 1),
+        "words_upper": sum(upper(w) > 0.6 * len(w) for w in words) / n, "short_words": sum(len(w) < 4 for w in words) / n, "long_words": sum(len(w) > 10 for w in words) / n,
+        "distinct_words": len(set(words)) / n, "same_as_last": sum(a == b for a, b in zip(words, words[1:])) / n, "distinct_pairs": len(set(zip([b"", *words], words))) / n,
+        "bars": raw.count(b"|") / n, "exclaims": raw.count(b"!") / n, "sentence_end": sum(w[-1:] in b".!?" for w in words) / n, "lines": np.log1p(len(lines)),
+        "distinct_lines": len(set(lines)) / max(len(lines), 1), "title_words": sum(65 <= w[0] <= 90 for w in words) / n, "vowels": sum(c in b"aeiouAEIOU" for c in raw) / max(len(raw), 1),
+        "line_words": np.log1p(len(words) / max(len(lines), 1)), "high": sum(c > 127 for c in raw) / max(len(raw), 1), "digit": sum(48 <= c <= 57 for c in raw) / max(len(raw), 1),
+    }
+
+
+def test_quality_features_are_the_whole_texts(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm import op7_quality as op
+
+    rng = random.Random(12)
+    some = ["a", "The", "UPPER!!", "é.", "longerwordthanten", "x|y", "12", "#$", "end?"]
+    texts = ["", " ", "\n", "one", "same same same"] + ["".join(rng.choice(some) + rng.choice((" ", "  ", "\n", "\t")) for _ in range(rng.randrange(200))) for _ in range(40)]
+    texts += ["a b|\n" * 900, "y" * 3000 + " z\n" + "y" * 3000, "w " * 2000]
+    whole = op.features(pa.array(texts))
+    monkeypatch.setattr(op, "SEGMENT", 700)  # most of these texts are long ones now
+    assert np.allclose(op.features(pa.array(texts)), whole, rtol=0, atol=1e-12)
+    for text, row in zip(texts, whole, strict=True):
+        for name, value in plain_features(text).items():
+            assert abs(row[op.FEATURES.index(name)] - value) < 1e-9, (text[:40], name)
+
+
+def test_quality_on_held_out_rows(spark):
+    import __spark_entry__
+
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in __spark_entry__.queries()["op7_quality_classifier"](spark, sf).collect()}
+    labels = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] is not None and r["doc_id"] in got and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    right = np.mean([got[r["doc_id"]]["predicted"] == r["quality"] for r in labels])
+    assert len(labels) > 50 and right > 0.8, right
+
+
 def test_licenses(spark):
     from tessera.llm.op8_licenses import TEMPLATES, scan
 
