@@ -1,15 +1,19 @@
-"""Lossless WebP, in Python and arrays: a complete decoder and a plain encoder.
+"""Lossless WebP, in Python and arrays: a complete decoder and an encoder with palettes and copies.
 
 The decoder reads prefix codes (simple and normal, with one or many groups), back-references, the colour
 cache, and inverts the predictor, cross-colour, subtract-green and palette transforms. Where every prefix
-code of an image has words of one length and only literals (as this encoder writes), the pixels are read
-by array operations; else symbol by symbol. Written from the public format description.
+code of an image has words of one length and there is no cache (as this encoder writes), literals are read by
+array operations from one back-reference to the next; else symbol by symbol. The encoder writes images of at
+most 256 colours with a palette, and what repeats as back-references. Written from the public format
+description.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from tessera.llm.common import Rolling
+
 # Fixed values of the format.
 CODE_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 NEAR = (
@@ -137,9 +141,8 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_code(bits, n) for n in sizes] for _ in range(count)]
     total = width * height
-    green, red, blue, alpha, _ = codes[0]
-    if count == 1 and not cache_bits and alpha.flat == 0 and None not in (green.flat, red.flat, blue.flat) and green.symbols[-1] < 256:
-        return _flat_pixels(bits, total, green, red, blue, int(alpha.only))
+    if count == 1 and not cache_bits and None not in (code.flat for code in codes[0][:4]):
+        return _even_pixels(bits, total, width, *codes[0])
     out, cache, at = [0] * total, [0] * (1 << cache_bits), 0
     drop = 32 - cache_bits
     while at < total:
@@ -153,15 +156,7 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             if cache_bits:
                 cache[(CACHE_FACTOR * pixel & 0xFFFFFFFF) >> drop] = pixel
         elif k < 280:
-            n = _amount(bits, k - 256)
-            d = _amount(bits, far.next(bits))
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(x + y * width, 1)
-            if d > at or at + n > total:
-                raise ValueError("a back-reference leaves the image")
+            n, d = _reference(bits, k, far, width, at, total)
             for _ in range(n):
                 pixel = out[at] = out[at - d]
                 at += 1
@@ -174,26 +169,58 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _flat_pixels(bits: Bits, total: int, green: Code, red: Code, blue: Code, alpha: int) -> np.ndarray:
-    """Literals only, each code's words of one length."""
-    each = green.flat + red.flat + blue.flat
-    if bits.at + total * each > 8 * len(bits.data):
-        raise ValueError("the image data ends too early")
-    out = np.full(total, alpha << 24, np.uint32)
-    step = 1 << 18  # pixels at once
-    for a in range(0, total, step):
-        n = min(step, total - a)
-        begin = bits.at + a * each
-        raw = np.frombuffer(bits.data, np.uint8, (begin + n * each + 7 >> 3) - (begin >> 3), begin >> 3)
-        flags = np.unpackbits(raw, bitorder="little")[begin & 7 :][: n * each].reshape(n, each) if each else None
-        used = 0
-        for code, place in ((green, 8), (red, 16), (blue, 0)):
-            wide = np.zeros((n, 8), np.uint8)
-            if code.flat:
-                wide[:, 8 - code.flat :] = flags[:, used : used + code.flat]
-            used += code.flat
-            out[a : a + n] |= code.symbols[np.packbits(wide, axis=1).ravel()].astype(np.uint32) << np.uint32(place)
-    bits.at += total * each
+def _reference(bits: Bits, symbol: int, far: Code, width: int, at: int, total: int) -> tuple[int, int]:
+    """Length and distance of a back-reference at a pixel."""
+    n = _amount(bits, symbol - 256)
+    d = _amount(bits, far.next(bits))
+    if d > 120:
+        d -= 120
+    else:
+        x, y = NEAR[d - 1]
+        d = max(x + y * width, 1)
+    if d > at or at + n > total:
+        raise ValueError("a back-reference leaves the image")
+    return n, d
+
+
+def _field(flags: np.ndarray, code: Code, used: int) -> np.ndarray:
+    """The symbols of a code whose words stand from column `used` on in every row of bits."""
+    if not code.flat:
+        return np.full(len(flags), code.symbols[0])
+    wide = np.zeros((len(flags), 8), np.uint8)
+    wide[:, 8 - code.flat :] = flags[:, used : used + code.flat]
+    return code.symbols[np.packbits(wide, axis=1).ravel()]
+
+
+def _even_pixels(bits: Bits, total: int, width: int, green: Code, red: Code, blue: Code, alpha: Code, far: Code) -> np.ndarray:
+    """Each code's words are of one length: reads literals many at once, up to the next back-reference."""
+    each = green.flat + red.flat + blue.flat + alpha.flat
+    out, at, ahead = np.empty(total, np.uint32), 0, 1 << 10
+    while at < total:
+        n = min(ahead, total - at)
+        if each:
+            n = min(n, (8 * len(bits.data) - bits.at) // each)
+        if n:
+            raw = np.frombuffer(bits.data, np.uint8, (bits.at + n * each + 7 >> 3) - (bits.at >> 3), bits.at >> 3)
+            flags = np.unpackbits(raw, bitorder="little")[bits.at & 7 :][: n * each].reshape(n, each)
+            literal = _field(flags, green, 0)
+            k = int(np.argmax(literal > 255)) if green.symbols[-1] > 255 else 0
+            k = n if literal[k] < 256 else k
+            used = green.flat
+            pixels = literal[:k].astype(np.uint32) << np.uint32(8)
+            for code, place in ((red, 16), (blue, 0), (alpha, 24)):
+                pixels |= _field(flags[:k], code, used).astype(np.uint32) << np.uint32(place)
+                used += code.flat
+            out[at : at + k] = pixels
+            at, bits.at, ahead = at + k, bits.at + k * each, min(2 * ahead, 1 << 18)
+            if k == n:
+                continue
+        symbol = green.next(bits)
+        if symbol < 256:  # fewer bits are left than a literal has
+            raise ValueError("the image data ends too early")
+        n, d = _reference(bits, symbol, far, width, at, total)
+        out[at : at + n] = out[at - d : at - d + n] if n <= d else np.resize(out[at - d : at], n)
+        at, ahead = at + n, 1 << 10
     return out
 
 
@@ -364,45 +391,133 @@ def _bit_string(value: int, n: int) -> str:
     return format(value, f"0{n}b")[::-1] if n else ""
 
 
-def _flat_code(used: np.ndarray, size: int) -> tuple[str, int, np.ndarray]:
+def _flat_code(used: np.ndarray) -> tuple[str, int, np.ndarray]:
     """A code whose words all have one length: its description, that length and each symbol's word."""
-    words = np.zeros(256, np.uint8)
-    symbols = np.flatnonzero(used)
-    if len(symbols) == 1:
+    words, symbols = np.zeros(len(used), np.uint8), np.flatnonzero(used)
+    if not len(symbols):
+        return "100" + "0", 0, words  # simple, the symbol 0 of 1 bit
+    if len(symbols) == 1 and symbols[0] < 256:
         return "101" + _bit_string(int(symbols[0]), 8), 0, words  # simple, one symbol of 8 bits
+    if len(symbols) == 2 and symbols[1] < 256:
+        words[symbols] = 0, 1
+        return "111" + _bit_string(int(symbols[0]), 8) + _bit_string(int(symbols[1]), 8), 1, words
     length = max(1, int(len(symbols) - 1).bit_length())
-    spare = np.flatnonzero(~used)[: (1 << length) - len(symbols)]
     used = used.copy()
-    used[spare] = True
+    used[np.flatnonzero(~used)[: (1 << length) - len(symbols)]] = True
     words[used] = np.arange(1 << length)
     # Lengths 0 and `length` have words of one bit.
     given = CODE_ORDER[: CODE_ORDER.index(length) + 1]  # 0 comes before any length
     text = ["0", _bit_string(len(given) - 4, 4), *(_bit_string(int(k in (0, length)), 3) for k in given), "0"]
-    flags = np.zeros(size, np.uint8)
-    flags[:256] = used
-    text.append((flags + 48).tobytes().decode())  # the word of length 0 is 0, that of the other is 1
+    text.append((used.astype(np.uint8) + 48).tobytes().decode())  # the word of length 0 is 0, that of the other is 1
     return "".join(text), length, words
 
 
+def _flags(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(), np.uint8) - 48
+
+
+def _prefixed(value: int) -> tuple[int, str]:
+    """A length or distance as the symbol of its prefix and the bits after it."""
+    if value <= 4:
+        return value - 1, ""
+    high = (value - 1).bit_length() - 1
+    return 2 * high + ((value - 1) >> (high - 1) & 1), _bit_string((value - 1) & ((1 << (high - 1)) - 1), high - 1)
+
+
+#: The shortest repeat that becomes a back-reference; the longest and farthest that the format allows.
+REPEAT, LONGEST, FARTHEST = 64, 4096, (1 << 20) - 121
+
+
+def repeats(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of stretches that are there before, found by the hashes of every REPEAT values."""
+    if len(values) <= REPEAT:
+        return []
+    grams = Rolling(values).grams(REPEAT)
+    blocks = np.arange(0, len(grams), REPEAT)
+    order = np.argsort(grams[blocks], kind="stable")
+    keys = grams[blocks][order]
+    near = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+    source = blocks[order[near]]
+    found = np.flatnonzero((keys[near] == grams) & (source < np.arange(len(grams))))
+    out, at = [], 0
+    while (i := int(np.searchsorted(found, at))) < len(found):
+        a = int(found[i])
+        b = int(source[a])
+        most = min(LONGEST, len(values) - a)
+        differ = values[a : a + most] != values[b : b + most]
+        n = int(np.argmax(differ)) if differ.any() else most
+        at = a + 1
+        if n >= REPEAT and a - b <= FARTHEST:
+            out.append((a, n, a - b))
+            at = a + n
+    return out
+
+
+def _image(green: np.ndarray, others: tuple = (), copies: list = (), main: bool = False) -> list[np.ndarray]:
+    """An entropy-coded image as arrays of bits: greens, other channels (red, blue, alpha; None: 0), back-references."""
+    lengths, distances = [_prefixed(n) for _, n, _ in copies], [_prefixed(d + 120) for *_, d in copies]
+    literal = np.ones(len(green), bool)
+    for a, n, _ in copies:
+        literal[a : a + n] = False
+    used = np.zeros(280, bool)
+    used[:256] = np.bincount(green[literal], minlength=256) > 0
+    used[[256 + k for k, _ in lengths]] = True
+    if used.sum() > 256:  # no code of words of one length has so many symbols
+        return _image(green, others, [], main)
+    head, tables = ["0" * (2 if main else 1)], []
+    for u in (used, *(np.bincount(x, minlength=256) > 0 if x is not None else np.arange(256) == 0 for x in others)):
+        text, length, words = _flat_code(u)
+        head.append(text)
+        tables.append((length, words))
+    far = np.zeros(40, bool)
+    far[[k for k, _ in distances]] = True
+    text, far_length, far_words = _flat_code(far)
+    head.append(text)
+    body = np.concatenate([np.unpackbits(words[x]).reshape(-1, 8)[:, 8 - n :] for (n, words), x in zip(tables, (green, *others), strict=True) if n and x is not None] or [np.zeros((len(green), 0), np.uint8)], axis=1)
+    out, at = [_flags("".join(head))], 0
+    word = lambda table, n, symbol: format(int(table[symbol]), f"0{n}b") if n else ""
+    for (a, n, _), (k, rest), (j, far_rest) in zip(copies, lengths, distances, strict=True):
+        out += [body[at:a].ravel(), _flags(word(tables[0][1], tables[0][0], 256 + k) + rest + word(far_words, far_length, j) + far_rest)]
+        at = a + n
+    return [*out, body[at:].ravel()]
+
+
+def _head(width: int, height: int) -> str:
+    if not (0 < height <= MOST and 0 < width <= MOST):
+        raise ValueError("a side has 1 to 16384 pixels")
+    return _bit_string(0x2F, 8) + _bit_string(width - 1, 14) + _bit_string(height - 1, 14) + "0000"
+
+
+def _file(bits: list[np.ndarray]) -> bytes:
+    return riff(np.packbits(np.concatenate(bits), bitorder="little").tobytes())
+
+
+def encode_indexed(index: np.ndarray, table: np.ndarray) -> bytes:
+    """A lossless WebP file of height x width indices into a palette (ARGB, 256 at most)."""
+    height, width = index.shape
+    deltas = _parts(table).copy()
+    deltas[1:] -= deltas[:-1]
+    size, values = len(table), index
+    pack = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
+    if pack:  # several indices in a pixel, lowest first
+        each = 8 >> pack
+        values = np.zeros((height, -(-width // (1 << pack)) << pack), np.uint8)
+        values[:, :width] = index
+        values = (values.reshape(height, -1, 1 << pack) << (np.arange(1 << pack) * each).astype(np.uint8)).sum(2, dtype=np.uint8)
+    values = np.ascontiguousarray(values).ravel()
+    palette = _image(*(lambda d: (d[1], (d[2], d[0], d[3])))([np.ascontiguousarray(deltas[:, k]) for k in range(4)]))
+    head = _flags(_head(width, height) + "1" + "11" + _bit_string(size - 1, 8))
+    return _file([head, *palette, _flags("0"), *_image(values, (None, None, None), repeats(values), True)])
+
+
 def encode(rgb: np.ndarray) -> bytes:
     """A lossless WebP file of height x width x 3 bytes, opaque."""
     height, width = rgb.shape[:2]
-    if not (0 < height <= MOST and 0 < width <= MOST):
-        raise ValueError("a side has 1 to 16384 pixels")
-    flat = rgb.reshape(-1, 3)
-    head, words, lengths = [_bit_string(0x2F, 8), _bit_string(width - 1, 14), _bit_string(height - 1, 14), "0000", "0", "0", "0"], [], []
-    for channel, size in ((1, 280), (0, 256), (2, 256)):
-        values = np.ascontiguousarray(flat[:, channel])
-        text, length, table = _flat_code(np.bincount(values, minlength=256) > 0, size)
-        head.append(text)
-        words.append(table[values])
-        lengths.append(length)
-    head.append("101" + _bit_string(255, 8) + "100" + "0")  # alpha: always 255; distances: none
-    header = np.frombuffer("".join(head).encode(), np.uint8) - 48
-    n, each = len(flat), sum(lengths)
-    body = np.empty((n, each), np.uint8)
-    used = 0
-    for word, length in zip(words, lengths, strict=True):
-        body[:, used : used + length] = np.unpackbits(word).reshape(n, 8)[:, 8 - length :]
-        used += length
-    return riff(np.packbits(np.concatenate([header, body.ravel()]), bitorder="little").tobytes())
+    head = _head(width, height)
+    flat = rgb.reshape(-1, 3).astype(np.uint32)
+    argb = 0xFF000000 | flat[:, 0] << 16 | flat[:, 1] << 8 | flat[:, 2]
+    table, index = np.unique(argb, return_inverse=True)
+    if len(table) <= 256:
+        return encode_indexed(index.reshape(height, width).astype(np.uint8), table.astype(np.uint32))
+    red, green, blue = (np.ascontiguousarray(rgb.reshape(-1, 3)[:, k]) for k in range(3))
+    return _file([_flags(head + "0"), *_image(green, (red, blue, np.full(len(green), 255, np.uint8)), [], True)])

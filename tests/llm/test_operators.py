@@ -513,12 +513,25 @@ def test_media(spark):
     for r in media(docs).collect():
         assert r["payload_bytes"] % 576 == 0 and r["payload_bytes"] >= max(576, r["n_bytes"])
         assert hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"]
-        back = np.ascontiguousarray(decode(bytes(r["media"]))[..., :3]).tobytes()[: r["payload_bytes"]]
+        pixels = decode(bytes(r["media"]))
+        assert (pixels[..., :3] == pixels[..., :1]).all() and (pixels[..., 3] == 255).all()
+        back = np.ascontiguousarray(pixels[..., 0]).tobytes()[: r["payload_bytes"]]
         assert hashlib.sha256(back).hexdigest() == r["payload_sha256"] and zlib.crc32(back[-32:]) == r["tail_crc32"]
         assert back[r["n_bytes"] :].strip(b"\xff") == b""
     assert media(docs.limit(0)).count() == 0
 
 
+def test_media_of_several_images():
+    from tessera.llm.op10_media import feature, from_media, to_media
+
+    payload = np.random.default_rng(2).integers(0, 200, 576 * 300, dtype=np.uint8)
+    file = to_media(payload, most=3)  # three rows an image, then 28 units a row
+    back, images = from_media(file, len(payload))
+    assert len(images) == 4 and (back == payload).all() and feature(images).startswith("16128x3+")
+    one, image = from_media(to_media(payload), len(payload))
+    assert len(image) == 1 and (one == payload).all()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 

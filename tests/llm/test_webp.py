@@ -264,3 +264,35 @@ def test_damage():
 
 def test_distances_table():
     assert len(webp.NEAR) == len(set(webp.NEAR)) == 120 and all(0 <= y <= 7 and -7 <= x <= 8 for x, y in webp.NEAR)
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 3, 4, 5, 16, 17, 100, 250, 256])
+def test_indexed_round_trips(kinds):
+    rng = np.random.default_rng(kinds)
+    for height, width in ((1, 1), (1, 576), (7, 33), (40, 576)):
+        index = rng.integers(0, kinds, (height, width), dtype=np.uint8)
+        flat = index.ravel()
+        if len(flat) > 5000:
+            flat[3000:4500], flat[4600:4700] = flat[100:1600], flat[4599]  # a repeat and a run
+        table = np.sort(rng.choice(1 << 32, kinds, replace=False)).astype(np.uint32)
+        back = webp.decode(webp.encode_indexed(index, table))
+        assert (back == np.ascontiguousarray(table[index]).view(np.uint8).reshape(height, width, 4)[..., [2, 1, 0, 3]]).all()
+
+
+def test_repeats_become_references():
+    rng = np.random.default_rng(9)
+    values = rng.integers(0, 90, 20_000, dtype=np.uint8)
+    values[9000:15000] = values[1000:7000]
+    values[16000:] = 7
+    found = webp.repeats(values)
+    assert sum(n for _, n, _ in found) > 9500 and all((values[a : a + n] == values[a - d : a - d + n]).all() for a, n, d in found)
+    many = webp.encode_indexed(values[:19_584].reshape(34, 576), np.arange(90, dtype=np.uint32) | np.uint32(0xFF000000))
+    assert len(many) < 0.6 * 20_000
+    for value in (1, 4, 5, 6, 120, 4096, 1 << 20):
+        symbol, rest = webp._prefixed(value)
+        assert webp._amount(webp.Bits(np.packbits(webp._flags(rest), bitorder="little").tobytes()), symbol) == value
+
+
+def test_many_colours_round_trip():
+    rgb = np.random.default_rng(3).integers(0, 256, (30, 41, 3), dtype=np.uint8)
+    assert (webp.decode(webp.encode(rgb))[..., :3] == rgb).all()
