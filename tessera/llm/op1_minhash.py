@@ -1,18 +1,20 @@
 """MinHash near-dedup with ProbMinHash signatures.
 
-Texts become sets of five-word shingles. Each shingle is a Poisson process of arrivals with its weight as
+Texts become sets of weighted five-word shingles; a shingle's weight is how many bytes its words have (255 at
+most), so that it is the same in every text. Each shingle is a Poisson process of arrivals with its weight as
 rate; an arrival falls on a component of the signature that its shingle has not hit before, and the first
 arrival on a component gives it its value. A process stops as soon as it is later than every component's
-first arrival. Components of two texts are equal with the probability Jaccard of their sets. Bands of
-components propose pairs; exact similarity of the shingle sets (Jaccard, 0.8 or more) decides. All weights
-are 1, as in the deciding similarity: with weights that grow with a shingle's count, copies that repeat a
-line a different number of times would not share a band.
+first arrival. Components of two texts are equal with the probability Jaccard of their weighted sets, which
+for weights that belong to shingles is the weight of the common shingles over that of all. Bands of
+components propose pairs; exactly that measure, 0.8 or more, decides. How often a text repeats a shingle does
+not count: copies that repeat a line a different number of times are still copies.
 
 Exact copies are one text from the start. No bucket's pairs are listed. First every bucket's members meet
 one centre (the member with most company in all its buckets), and the links found make components. Only
 buckets that still hold several components are looked at again, in blocks of bounded size: a task computes
-the sizes of all common sets by a product of membership matrices, and sends on one link for each member
+the weights of all common sets by a product of membership matrices, and sends on one link for each member
 that it connects. So every pair of a bucket is compared or known to be connected, and no link is lost.
+Keys that hold a large share of the rows (buckets, centres, classes, copies) are dealt to many tasks.
 
 Nulls count as empty texts; texts without words are linked to nothing, not to each other. Texts of one to
 four words have one shingle of all words. A class is named by its smallest doc_id (null if it has none).
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, distinct_texts, lists, materialize, mix, read, with_text_key
+from tessera.llm.common import WORD, distinct_texts, hot_keys, lists, materialize, mix, read, spread_join, with_text_key
 from tessera.llm.windows import gram_hashes, word_pieces
 
 SHINGLE = 5
@@ -38,14 +40,32 @@ THRESHOLD = 0.8
 BLOCK = 1536
 
 
+#: The low bits of an element hold its weight, the others its shingle's hash.
+WEIGHT = np.uint64(255)
+
+
+def weights_of(elements: np.ndarray) -> np.ndarray:
+    return (elements & WEIGHT).astype(np.int64)
+
+
 def shingles(column: pa.Array, k: int = SHINGLE):
-    """The different shingles of the texts of a column: rows, index into rows, hashes and counts."""
+    """The different weighted shingles of the texts of a column: rows, index into rows and elements (sorted by row)."""
     held: list = []
-    for rows, starts, stops, firsts, hashes, *_ in word_pieces(column, k):
+
+    def weighted(hashes, sizes):
+        return (hashes & ~WEIGHT) | np.clip(sizes, 1, 255).astype(np.uint64)
+
+    def whole_text():
+        elements = np.concatenate([h for _, h in held])
+        return _different(np.array([held[0][0]]), np.zeros(len(elements), np.int64), elements)
+
+    for rows, starts, stops, firsts, hashes, _, first, last in word_pieces(column, k):
         if held and held[0][0] != rows[0]:
-            yield _counted(np.array([held[0][0]]), np.zeros(sum(len(h) for _, h in held), np.int64), np.concatenate([h for _, h in held]))
+            yield whole_text()
             held = []
-        grams, words = gram_hashes(hashes, k), stops - starts
+        size = np.concatenate([[0], np.cumsum(last - first)])
+        words = stops - starts
+        grams = weighted(gram_hashes(hashes, k), size[k:] - size[:-k]) if len(hashes) >= k else np.zeros(0, np.uint64)
         if len(rows) == 1 and (firsts[0] or words[0] >= 1 << 18):  # a part of a long text
             held.append((int(rows[0]), grams))
             continue
@@ -54,19 +74,17 @@ def shingles(column: pa.Array, k: int = SHINGLE):
         at = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts, count)
         short = np.flatnonzero((words > 0) & (words < k))
         whole = np.array([gram_hashes(hashes[starts[i] : stops[i]], int(words[i]))[0] for i in short], np.uint64)
-        yield _counted(rows, np.r_[unit, short], np.r_[grams[at], whole])
+        yield _different(rows, np.r_[unit, short], np.r_[grams[at], weighted(whole, size[stops[short]] - size[starts[short]])])
     if held:
-        yield _counted(np.array([held[0][0]]), np.zeros(sum(len(h) for _, h in held), np.int64), np.concatenate([h for _, h in held]))
+        yield whole_text()
 
 
-def _counted(rows: np.ndarray, unit: np.ndarray, grams: np.ndarray):
-    order = np.argsort(mix(grams ^ mix(unit.astype(np.uint64))), kind="stable")
-    unit, grams = unit[order], grams[order]
-    head = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (grams[1:] != grams[:-1])]) if len(unit) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[head, len(unit)])
-    unit, grams = unit[head], grams[head]
-    order = np.argsort(unit, kind="stable")
-    return rows, unit[order], grams[order], count[order]
+def _different(rows: np.ndarray, unit: np.ndarray, elements: np.ndarray):
+    order = np.lexsort((elements, unit))
+    unit, elements = unit[order], elements[order]
+    new = np.ones(len(unit), bool)
+    new[1:] = (unit[1:] != unit[:-1]) | (elements[1:] != elements[:-1])
+    return rows, unit[new], elements[new]
 
 
 def signatures(unit: np.ndarray, elements: np.ndarray, weights: np.ndarray, n: int, m: int = COMPONENTS) -> np.ndarray:
@@ -96,22 +114,23 @@ def signatures(unit: np.ndarray, elements: np.ndarray, weights: np.ndarray, n: i
 
 
 def banded(texts: DataFrame) -> DataFrame:
-    """t1, t2, n (different shingles) and bands (a hash for each band) of texts that have words."""
+    """t1, t2, n (the weight of its shingles) and bands (a hash for each band) of texts that have words."""
 
     def run(batches):
         for batch in batches:
-            for rows, unit, grams, _ in shingles(batch["text"]):
-                many = np.bincount(unit, minlength=len(rows))
+            for rows, unit, elements in shingles(batch["text"]):
+                weights = weights_of(elements)
+                many = np.bincount(unit, weights, len(rows)).astype(np.int64)
                 some = np.flatnonzero(many)
                 if not len(some):
                     continue
                 back = np.cumsum(many > 0) - 1
-                own = signatures(back[unit], grams, np.ones(len(grams)), len(some))[:, : BANDS * ROWS].reshape(-1, ROWS)
+                own = signatures(back[unit], elements, weights.astype(float), len(some))[:, : BANDS * ROWS].reshape(-1, ROWS)
                 bands = gram_hashes_rows(own).reshape(len(some), BANDS) ^ mix(np.arange(BANDS, dtype=np.uint64))
                 take = pa.array(rows[some])
-                yield pa.record_batch([batch["t1"].take(take), batch["t2"].take(take), pa.array(many[some], pa.int32()), lists(bands.ravel().view(np.int64), np.full(len(some), BANDS), pa.int64())], names=["t1", "t2", "n", "bands"])
+                yield pa.record_batch([batch["t1"].take(take), batch["t2"].take(take), pa.array(many[some]), lists(bands.ravel().view(np.int64), np.full(len(some), BANDS), pa.int64())], names=["t1", "t2", "n", "bands"])
 
-    return texts.mapInArrow(run, "t1 long, t2 long, n int, bands array<long>")
+    return texts.mapInArrow(run, "t1 long, t2 long, n long, bands array<long>")
 
 
 def gram_hashes_rows(x: np.ndarray) -> np.ndarray:
@@ -123,14 +142,13 @@ def gram_hashes_rows(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """id and s, the set of shingles (32 bits of their hashes, sorted), of texts with t1, t2, text."""
+    """id and s, the weighted shingles (64-bit elements, sorted), of texts with t1, t2, text."""
 
     def run(batches):
         for batch in batches:
-            for rows, unit, grams, _ in shingles(batch["text"]):
+            for rows, unit, elements in shingles(batch["text"]):
                 ends = np.searchsorted(unit, np.arange(len(rows) + 1))
-                short = (grams >> np.uint64(32)).astype(np.uint32)
-                sets = [np.unique(short[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                sets = [elements[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.record_batch([batch["id"].take(pa.array(rows)), pa.array(sets, pa.binary())], names=["id", "s"])
 
     return texts.select(_id().alias("id"), "text").mapInArrow(run, "id string, s binary")
@@ -146,21 +164,24 @@ def components(links: DataFrame, tag: str) -> DataFrame:
     Every round takes the least label among neighbours, then the label's own label, until nothing changes.
     """
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{tag}-edges")
+    hubs = materialize(hot_keys(edges, "b"), f"{tag}-hubs")
     labels = edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("c")).select("v", F.least("v", "c").alias("c"))
     labels = materialize(labels, f"{tag}-labels")
     while True:
-        near = edges.join(labels, edges["b"] == labels["v"]).groupBy("a").agg(F.min("c").alias("least"))
-        moved = labels.join(near, labels["v"] == near["a"]).select("v", F.least("c", "least").alias("n"), F.col("c").alias("old"))
-        hop = moved.select(F.col("v").alias("hop_v"), F.col("n").alias("hop_c"))
-        new = moved.join(hop, moved["n"] == hop["hop_v"]).select("v", F.least("n", "hop_c").alias("c"), "old")
+        near = spread_join(edges, labels.select(F.col("v").alias("b"), "c"), ["b"], ["a"], hot=hubs)
+        near = near.groupBy(F.col("a").alias("v")).agg(F.min("c").alias("least"))
+        moved = labels.join(near, "v").select("v", F.least("c", "least").alias("n"), F.col("c").alias("old"))
+        moved = materialize(moved, f"{tag}-moved")
+        hop = moved.select(F.col("v").alias("n"), F.col("n").alias("next"))
+        new = spread_join(moved, hop, ["n"], ["v"]).select("v", F.least("n", "next").alias("c"), "old")
         new = materialize(new, f"{tag}-labels")
         labels = new.select("v", "c")
         if not new.where("c <> old").limit(1).count():
             return labels
 
 
-def common_sizes(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
-    """How many values each two of the sets share."""
+def common_weights(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """The weight of what each two of the sets share."""
     n = len(sets)
     values, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
     order = np.argsort(values, kind="stable")
@@ -168,21 +189,24 @@ def common_sizes(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
     head = np.r_[True, values[1:] != values[:-1]][: len(values)]
     kind = np.cumsum(head) - 1
     shared = np.bincount(kind)[kind] > 1  # a value of one set is in no common set
-    owner, kind = owner[shared], np.cumsum(np.r_[True, values[shared][1:] != values[shared][:-1]][: int(shared.sum())]) - 1
-    out = np.zeros((n, n), np.float32)
+    values, owner = values[shared], owner[shared]
+    kind = np.cumsum(np.r_[True, values[1:] != values[:-1]][: len(values)]) - 1
+    weight = weights_of(values).astype(np.float32)
+    out = np.zeros((n, n))
     for a in range(0, int(kind[-1]) + 1 if len(kind) else 0, width):
         lo, hi = np.searchsorted(kind, (a, a + width))
-        has = np.zeros((n, width), np.float32)
+        has, heavy = np.zeros((n, width), np.float32), np.zeros((n, width), np.float32)
         has[owner[lo:hi], kind[lo:hi] - a] = 1
-        out += has @ has.T
+        heavy[owner[lo:hi], kind[lo:hi] - a] = weight[lo:hi]
+        out += heavy @ has.T  # whole numbers below 2**24: exact
     return out
 
 
 def bucket_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """For each set the first one that it is connected to by pairs of the given Jaccard similarity."""
-    size = np.array([len(x) for x in sets], np.float32)
-    common = common_sizes(sets)
-    near = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-6
+    """For each set the first one that it is connected to by pairs of the given similarity."""
+    size = np.array([weights_of(x).sum() for x in sets], float)
+    common = common_weights(sets)
+    near = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
     label = np.arange(len(sets))
     while True:
         least = np.minimum(label, np.where(near, label[None, :], len(sets)).min(1))
@@ -201,7 +225,7 @@ def _met(open_: DataFrame, threshold: float) -> DataFrame:
         def links():
             if len({r[1] for r in held}) < 2:
                 return None
-            found = bucket_links([np.frombuffer(r[2], np.uint32) for r in held], threshold)
+            found = bucket_links([np.frombuffer(r[2], np.uint64) for r in held], threshold)
             pairs = [(held[i][0], held[k][0]) for i, k in enumerate(found) if k != i and held[i][1] != held[k][1]]
             return pa.record_batch([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], names=["a", "b"]) if pairs else None
 
@@ -224,8 +248,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """v, c: texts (as t1-t2 in hex) that share a band with another, with their component (the least v in it)."""
     texts = lambda: distinct_texts(docs)
     bands = materialize(banded(texts()), "op1-bands", free=True).select("t1", "t2", "n", F.explode("bands").alias("b"))
-    shared = bands.groupBy("b").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    members = materialize(bands.join(shared, "b"), "op1-members", free=True)
+    shared = materialize(bands.groupBy("b").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "op1-shared")
+    crowds = materialize(shared.where(F.col("rows") > max(shared.agg(F.sum("rows")).first()[0] or 0, 256_000) // 1000).select("b"), "op1-crowds")  # fewer than 1000
+    members = materialize(spread_join(bands, shared, ["b"], ["t1"], hot=crowds), "op1-members", free=True)
     wanted = members.select("t1", "t2").distinct()
     sets = materialize(shingle_sets(texts().join(wanted, ["t1", "t2"], "left_semi")), "op1-sets", free=True)
     members = members.select("b", _id().alias("id"), "n", "rows")
@@ -234,9 +259,11 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # Each bucket's members against its centre.
     centres = members.groupBy("b").agg(F.min(F.struct((-F.col("w")).alias("o"), "id", "n")).alias("m"))
-    pairs = members.join(centres, "b").where("id <> m.id").select(F.least("id", "m.id").alias("a"), F.greatest("id", "m.id").alias("b"), F.least("n", "m.n").alias("low"), F.greatest("n", "m.n").alias("high"))
-    pairs = pairs.where(f"low >= {threshold} * high - 1e-9").select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
+    pairs = spread_join(members, centres, ["b"], ["id"], hot=crowds).where("id <> m.id")
+    pairs = pairs.select(F.least("id", "m.id").alias("a"), F.greatest("id", "m.id").alias("b"), F.least("n", "m.n").alias("low"), F.greatest("n", "m.n").alias("high"))
+    pairs = materialize(pairs.where(f"low >= {threshold} * high - 1e-9").select("a", "b").distinct(), "op1-pairs")
+    both = spread_join(pairs, sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), ["a"], ["b"])
+    both = spread_join(both, sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), ["b"], ["a"], hot=hot_keys(pairs, "b"))
     links = materialize(_similar(both, threshold), "op1-links")
     labels = members.select(F.col("id").alias("v")).distinct().join(components(links, "op1-first"), "v", "left").select("v", F.coalesce("c", "v").alias("c"))
     labels = materialize(labels, "op1-labels", free=True)
@@ -245,28 +272,29 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = members.join(labels, members["id"] == labels["v"]).select("b", "id", "rows", "c")
     several = known.groupBy("b").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("b")
     many = F.ceil(F.col("rows") / BLOCK).cast("int")
-    own = known.join(several, "b").withColumn("many", many).withColumn("x", F.pmod(F.xxhash64("id"), F.col("many")).cast("int"))
+    own = spread_join(known, several, ["b"], ["id"], hot=crowds).withColumn("many", many).withColumn("x", F.pmod(F.xxhash64("id"), F.col("many")).cast("int"))
     blocks = own.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).select("b", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "id", "c")
     joined = blocks.join(sets.select("id", "s"), "id")
     more = materialize(_met(joined, threshold), "op1-more", free=True)
     at = lambda x: labels.select(F.col("v").alias(x), F.col("c").alias(f"c_{x}"))
     between = more.join(at("a"), "a").join(at("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).where("a <> b").distinct()
     merged = components(between, "op1-second").select(F.col("v").alias("c"), F.col("c").alias("to"))
-    return materialize(labels.join(merged, "c", "left").select("v", F.coalesce("to", "c").alias("c")), "op1-labels")
+    merged = spread_join(labels, merged, ["c"], ["v"], "left")
+    return materialize(merged.select("v", F.coalesce("to", "c").alias("c")), "op1-labels")
 
 
 def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
-    """a, b of the pairs (a, b, s_a, s_b: sorted 32-bit values) whose Jaccard similarity reaches the threshold."""
+    """a, b of the pairs (a, b, s_a, s_b: sorted elements) whose similarity reaches the threshold."""
 
     def run(batches):
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch["s_a"], batch["s_b"], strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if common >= threshold * (len(x) + len(y) - common) - 1e-9:
+                both.sort(kind="stable")  # two sorted runs
+                common = int(weights_of(both[1:][both[1:] == both[:-1]]).sum())
+                if common >= threshold * (int(weights_of(both).sum()) - common) - 1e-9:
                     keep.append(i)
             keep = pa.array(keep, pa.int64())
             yield pa.record_batch([batch["a"].take(keep), batch["b"].take(keep)], names=["a", "b"])
@@ -276,12 +304,14 @@ def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, t1, t2, class_id, class_size of every document."""
-    labels = near_classes(docs, threshold)
+    labels = near_classes(docs, threshold).withColumnRenamed("v", "id")
     keyed = with_text_key(docs).select("doc_id", "t1", "t2", F.col("text").rlike(WORD).alias("words"))
     keyed = materialize(keyed.withColumn("id", _id()), "op1-keys")
-    named = keyed.join(labels, keyed["id"] == labels["v"], "left").select("doc_id", "t1", "t2", F.when(F.col("words"), F.coalesce("c", "id")).alias("c"))
+    named = spread_join(keyed, labels, ["id"], ["doc_id"], "left").select("doc_id", "t1", "t2", F.when(F.col("words"), F.coalesce("c", "id")).alias("c"))
+    named = materialize(named, "op1-named")
     sizes = named.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return named.join(sizes, "c", "left").select("doc_id", "t1", "t2", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    of_class = spread_join(named.where("c is not null"), sizes, ["c"], ["doc_id"]).select("doc_id", "t1", "t2", "class_id", "class_size")
+    return of_class.unionByName(named.where("c is null").select("doc_id", "t1", "t2", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

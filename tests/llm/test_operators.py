@@ -189,7 +189,7 @@ def test_long_texts_are_cut_into_overlapping_pieces():
     text = " ".join(f"t{i % 977}x{i}" for i in range(300_000))
     whole = [x for x in word_runs(pa.array(["a b", text, ""]), 13, 5)]
     assert sum(int(x[2][x[0] == 1].sum()) for x in whole) == 300_000 - 12
-    assert sum(len(h) for _, _, h, _ in shingles(pa.array([text, "a b c d e f"]))) == 300_000 - 4 + 2
+    assert sum(len(h) for _, _, h in shingles(pa.array([text, "a b c d e f"]))) == 300_000 - 4 + 2
 
 
 def test_near_classes(spark):
@@ -225,11 +225,12 @@ def test_near_classes_are_those_of_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = sorted((r["doc_id"], (r["text"] or "").encode().split()) for r in docs.collect())
     sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for _, w in rows]
+    weight = lambda shingles: sum(min(sum(map(len, s)), 255) for s in shingles)
     label = list(range(len(rows)))
     for i, a in enumerate(sets):
         for k, b in enumerate(sets[:i]):
-            common = len(a & b)
-            if common and common >= 0.8 * (len(a) + len(b) - common) - 1e-9 and label[i] != label[k]:
+            common = weight(a & b) if not a.isdisjoint(b) else 0
+            if common and common >= 0.8 * weight(a | b) - 1e-9 and label[i] != label[k]:
                 low, high = sorted((label[i], label[k]))
                 label = [low if x == high else x for x in label]
     want = {d: (rows[c][0], label.count(c)) for (d, _), c in zip(rows, label, strict=True)}
@@ -255,16 +256,45 @@ def test_signatures_estimate_probability_jaccard():
     assert abs(np.mean(hits) - exact) < 0.04
 
 
+def weighted(numbers, weight=lambda x: 1 + x % 7) -> np.ndarray:
+    return np.unique(np.array([x << 8 | weight(x) for x in numbers], np.uint64))
+
+
 def test_bucket_links():
-    from tessera.llm.op1_minhash import bucket_links, common_sizes
+    from tessera.llm.op1_minhash import bucket_links, common_weights
 
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 50, 30).astype(np.uint32)) for _ in range(25)]
-    assert common_sizes(sets, 7).astype(int).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets] for x in sets]
-    chain = [np.arange(i, i + 20, dtype=np.uint32) for i in (0, 2, 4, 100)]
+    sets = [weighted(rng.integers(0, 50, 30).tolist()) for _ in range(25)]
+    assert common_weights(sets, 7).tolist() == [[sum(int(v) & 255 for v in set(x.tolist()) & set(y.tolist())) for y in sets] for x in sets]
+    chain = [weighted(range(i, i + 20), lambda x: 3) for i in (0, 2, 4, 100)]
     assert bucket_links(chain, 0.8).tolist() == [0, 0, 0, 3]
 
 
+def test_bands_find_pairs_of_the_deciding_similarity():
+    from tessera.llm.op1_minhash import BANDS, COMPONENTS, ROWS, signatures, weights_of
+
+    rng, found = np.random.default_rng(14), {0.8: 0, 0.9: 0, 0.4: 0}
+    for level in found:
+        for _ in range(150):
+            elements = (rng.integers(0, 1 << 62, 220, dtype=np.uint64) << np.uint64(8)) | rng.integers(10, 60, 220, dtype=np.uint64)
+            share = np.cumsum(weights_of(elements)) / weights_of(elements).sum()
+            common = share <= level
+            a, b = elements[common | (np.arange(220) % 2 == 0)], elements[common | (np.arange(220) % 2 == 1)]
+            own = signatures(np.repeat([0, 1], [len(a), len(b)]), np.r_[a, b], weights_of(np.r_[a, b]).astype(float), 2, COMPONENTS)[:, : BANDS * ROWS]
+            found[level] += bool((own[0] == own[1]).reshape(BANDS, ROWS).all(1).any())
+    assert found[0.8] >= 148 and found[0.9] == 150 and found[0.4] <= 15
+
+
+def test_hot_keys_are_spread(spark):
+    from tessera.llm.common import spread_join
+
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id) AS k")
+    right = spark.range(3000).selectExpr("id AS k", "id * 10 AS v").where("k <> 11")
+    for how, n in (("inner", 2999), ("left", 3000)):
+        got = spread_join(rows, right, ["k"], ["id"], how)
+        assert got.count() == got.distinct().count() == n and got.where("v <> k * 10").isEmpty()
+
+
 def test_mix(spark):
     from tessera.llm.op3_mixing import flow, mix, targets
 
