@@ -1,118 +1,169 @@
 """Mixing sources to target weights by a min-cost flow over membership patterns.
 
-Documents are summed by the set of sources they belong to (a pattern). A flow from patterns to sources
-carries words: a pattern's first pass is free, each further pass costs one more a word, and a source takes
-its quota. Documents of a pattern are then taken in an order seeded by their doc_id until the pattern's
-flow is met. That order is cut into 65,536 ranges of hashes, so only the documents of the ranges where a
-pass ends are ever put in order.
+A text belongs to every source that has a document with it; that set of sources is its pattern. Documents
+are summed by pattern and source, and a flow from patterns to sources carries words: a pattern's first pass
+(its words divided by its sources, as each holds them) is free, each further pass costs one more a word, up
+to MOST_COST; a source takes its quota, and from a pattern at most REPEATS times the words that its own
+documents have there. So words that several sources hold are repeated last. As the cost of a word depends on
+its pattern's pass alone, and what patterns can send at once is a polymatroid, the cheapest flow comes from
+opening one pass after another and sending as much as the sources still take: each step is a maximum flow,
+in phases of shortest paths.
+
+The documents of a source in a pattern are then taken in an order seeded by their doc_id until the flow is
+met. That order is cut into 65,536 ranges of hashes, so only the documents of the ranges where a pass ends
+are ever put in order.
+
+Quotas are computed by aggregations, however many sources there are. The flow is computed on the driver, for
+the MOST_PATTERNS heaviest patterns of several sources; the documents of lighter ones count for their own
+source alone, which meets the same quotas. Patterns of one source need no flow.
 
 Nulls: a null text has size 0, a null source is a source of its own and the last one, a null doc_id is
-hashed as ''. Equal rows may take each other's place. An empty table gives an empty result; other columns
-are kept by mix() and dropped by the query.
+hashed as ''. Equal rows may take each other's place. Texts without words have their own source only. An
+empty table gives an empty result; other columns are kept by mix() and dropped by the query.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict, deque
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, materialize, read
+from tessera.llm.common import WORD, hot_keys, materialize, read, spread_join
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
 SEED = "mix-1"
-#: Patterns are collected to the driver. They are sets of source names, not documents; more raise an error.
-MOST_PATTERNS = 200_000
-
-
-def targets(sizes: list[int], weights: list[float], share: float = SHARE, repeats: int = REPEATS) -> list[float]:
-    """Shares of share * sum(sizes) by weight; none above repeats * its size, what is over dealt again by weight."""
-    caps = [float(repeats * s) for s in sizes]
-    left, open_ = share * sum(sizes), set(range(len(sizes)))
-    out, total = caps[:], sum(weights)
-    for i in sorted(range(len(sizes)), key=lambda i: (caps[i] / weights[i], i)):
-        if caps[i] / weights[i] >= left / total:
-            level = left / total
-            for j in open_:
-                out[j] = weights[j] * level
-            break
-        left -= caps[i]
-        total -= weights[i]
-        open_.discard(i)
-    return out
-
-
-def flow(patterns: dict[tuple, int], quotas: dict, repeats: int = REPEATS) -> dict[tuple, dict]:
-    """Words that each pattern gives each source: the cheapest way to meet the quotas as far as possible.
-
-    patterns: words of the documents in each set of sources; quotas: words wanted. Pass k of a pattern costs
-    k - 1 a word. Cheapest paths are added one after another, so each pass is used before a dearer one.
-    """
-    graph: dict = defaultdict(dict)  # node -> node -> [capacity left, cost]
+#: The most patterns of several sources whose flow is computed.
+MOST_PATTERNS = 20_000
+#: The cost of a word in this pass and all later ones.
+MOST_COST = 4
+
 
-    def arc(a, b, capacity, cost):
-        graph[a][b] = [capacity, cost]
-        graph[b].setdefault(a, [0, -cost])
+def level(sources: DataFrame, total: float, repeats: int) -> float:
+    """What a unit of weight gets where targets stop at repeats * words: the shares of total, by weight, filled up.
 
+    Sources that are at their cap below the level leave their rest to the others, until no other one is.
+    """
+    low, cap = -1.0, F.col("words") * float(repeats)
+    while True:
+        full = cap <= F.col("weight") * F.lit(low) if low >= 0 else F.lit(False)
+        sums = sources.agg(F.sum(F.when(full, cap).otherwise(0.0)).alias("used"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+        if not sums["open"]:
+            return float("inf")
+        found = (total - sums["used"]) / sums["open"]
+        if found <= low:
+            return found if low < 0 else low
+        low = found
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources with i, their place by code point (null last), without bringing them together."""
+    spread = materialize(sources.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id()), "op3-sources")
+    inner = Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last())
+    parts = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_many"))  # a row for each partition
+    before = parts.withColumn("_before", F.coalesce(F.sum("_many").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return spread.withColumn("_row", F.row_number().over(inner)).join(before.drop("_many"), "_part").withColumn("i", F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before")
+
+
+class _Network:
+    """Maximum flows in a graph whose capacities may grow between them."""
+
+    def __init__(self):
+        self.ends, self.room, self.arcs = [], [], defaultdict(list)
+
+    def arc(self, a, b, capacity: int) -> int:
+        for x, y, c in ((a, b, capacity), (b, a, 0)):
+            self.arcs[x].append(len(self.ends))
+            self.ends.append(y)
+            self.room.append(c)
+        return len(self.ends) - 2
+
+    def push(self, start, end) -> None:
+        """Sends as much as there is room for, by shortest paths, all of one length at a time."""
+        ends, room, arcs = self.ends, self.room, self.arcs
+        while True:
+            depth, queue = {start: 0}, deque([start])
+            while queue and end not in depth:
+                a = queue.popleft()
+                for e in arcs[a]:
+                    if room[e] and ends[e] not in depth:
+                        depth[ends[e]] = depth[a] + 1
+                        queue.append(ends[e])
+            if end not in depth:
+                return
+            turn, path, a = dict.fromkeys(depth, 0), [], start
+            while True:
+                if a == end:
+                    n = min(room[e] for e in path)
+                    for e in path:
+                        room[e] -= n
+                        room[e ^ 1] += n
+                    cut = next(i for i, e in enumerate(path) if not room[e])
+                    a = ends[path[cut] ^ 1]
+                    path = path[:cut]
+                    continue
+                while turn[a] < len(arcs[a]):
+                    e = arcs[a][turn[a]]
+                    if room[e] and depth.get(ends[e], -1) == depth[a] + 1:
+                        path.append(e)
+                        a = ends[e]
+                        break
+                    turn[a] += 1
+                else:
+                    if not path:
+                        break
+                    a = ends[path.pop() ^ 1]
+                    turn[a] += 1
+
+
+def flow(patterns: dict, quotas: dict, repeats: int = REPEATS, most_cost: int = MOST_COST) -> dict:
+    """Words that each pattern gives each of its sources: the cheapest way to meet the quotas as far as possible.
+
+    patterns: for each pattern the words that its documents have in each of its sources; quotas: words wanted.
+    """
+    net, opening, links = _Network(), {}, {}
     for p, words in patterns.items():
-        for k in range(repeats):
-            arc("start", ("pass", p, k), words, k)
-            arc(("pass", p, k), ("pattern", p), words, 0)
-        for s in p:
-            arc(("pattern", p), ("source", s), repeats * words, 0)
+        opening[p] = net.arc("start", ("pattern", p), 0)
+        for s, n in words.items():
+            links[p, s] = net.arc(("pattern", p), ("source", s), repeats * n)
     for s, q in quotas.items():
-        arc(("source", s), "end", q, 0)
-    while True:
-        cost, come, queue, queued = {"start": 0}, {}, deque(["start"]), {"start"}
-        while queue:
-            a = queue.popleft()
-            queued.discard(a)
-            for b, (left, c) in graph[a].items():
-                if left > 0 and cost[a] + c < cost.get(b, math.inf):
-                    cost[b], come[b] = cost[a] + c, a
-                    if b not in queued:
-                        queue.append(b)
-                        queued.add(b)
-        if "end" not in come:
-            break
-        path, b = [], "end"
-        while b != "start":
-            path.append((come[b], b))
-            b = come[b]
-        n = min(graph[a][b][0] for a, b in path)
-        for a, b in path:
-            graph[a][b][0] -= n
-            graph[b][a][0] += n
-    return {p: {s: graph[("source", s)][("pattern", p)][0] for s in p} for p in patterns}
+        net.arc(("source", s), "end", q)
+    opened = dict.fromkeys(patterns, 0)
+    for cost in range(most_cost + 1):
+        for p, words in patterns.items():
+            all_ = repeats * sum(words.values())
+            more = all_ if cost == most_cost else min(all_, (cost + 1) * -(-sum(words.values()) // len(words)))
+            net.room[opening[p]] += more - opened[p]
+            opened[p] = more
+        net.push("start", "end")
+    return {p: {s: net.room[links[p, s] + 1] for s in words} for p, words in patterns.items()}
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs with _size, their words, and _o, the seeded order."""
+    """docs with _size, their words, _o, the seeded order, and _t1, _t2, 128 hash bits of the text."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + SEED)).cast("binary"))
-    return docs.withColumns({"_size": size, "_o": order})
+    return docs.withColumns({"_size": size, "_o": order, "_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(1), "text")})
 
 
 def take(rows: DataFrame, slim: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows with _passes, how often each is taken, given each pattern's words to take in each pass.
+    """rows with _passes, how often each is taken, given the words to take of each class (p) in each pass.
 
-    rows and slim hold the same documents (p, _size, _o, doc_id; rows may have more). plan: p, words
-    array<long>; a row for each pattern, at most MOST_PATTERNS, so it may be sent to every task.
+    rows and slim hold the same documents (p, _size, _o, doc_id; rows may have more). plan: p, words array<long>.
     """
     ranges = slim.groupBy("p", F.substring("_o", 1, 4).alias("_range")).agg(F.sum("_size").alias("inside"))
     by_range = Window.partitionBy("p").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("inside").over(by_range), F.lit(0)))
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("inside").over(by_range), F.lit(0)))  # 65,536 rows a class at most
     # The range in which each pass ends: all before it is taken, nothing after it.
-    ends = ranges.join(F.broadcast(plan), "p").select("p", "_range", "before", "inside", F.posexplode("words").alias("k", "w"))
+    ends = ranges.join(plan, "p").select("p", "_range", "before", "inside", F.posexplode("words").alias("k", "w"))
     ends = ends.where("before <= w and w < before + inside").groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct(F.col("_range").alias("r"), "before")))).alias("_ends"))
-    known = plan.join(ends, "p", "left").select("p", F.col("words").alias("_words"), "_ends")
-    marked = rows.join(F.broadcast(known), "p").withColumn("_range", F.substring("_o", 1, 4))
+    known = materialize(plan.join(ends, "p", "left").select("p", F.col("words").alias("_words"), "_ends"), "op3-plan")
+    # Spark sends `known` to every task if it is small, as its written size tells; else hot classes are dealt to many.
+    marked = rows.join(known, "p").withColumn("_range", F.substring("_o", 1, 4))
     marked = marked.withColumn("_edge", F.coalesce(F.expr("exists(map_values(_ends), e -> e.r = _range)"), F.lit(False)))
-    inner = Window.partitionBy("p", "_range").orderBy("_o", "_size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("p", "_range").orderBy("_o", "_size", "doc_id", "_t1", "_t2").rowsBetween(Window.unboundedPreceding, -1)
     inside = marked.where("_edge").withColumn("_ahead", F.coalesce(F.sum("_size").over(inner), F.lit(0)))
     outside = marked.where("not _edge").withColumn("_ahead", F.lit(0).cast("long"))
     passes = """aggregate(sequence(0, size(_words) - 1), 0, (n, k) -> n + CASE
@@ -122,53 +173,65 @@ def take(rows: DataFrame, slim: DataFrame, plan: DataFrame) -> DataFrame:
     return taken.drop("_words", "_ends", "_range", "_edge", "_ahead")
 
 
+def _own():
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
+
+
+def shared_texts(slim: DataFrame, most: int = MOST_PATTERNS) -> tuple[DataFrame, dict]:
+    """_t1, _t2, _pattern of the texts that several sources hold; and those patterns' words in each source (own)."""
+    many = slim.where("_size > 0").groupBy("_t1", "_t2").agg(F.sort_array(F.collect_set("own")).alias("of")).where("size(of) > 1")
+    many = materialize(many.select("_t1", "_t2", F.hex(F.xxhash64("of")).alias("_pattern")), "op3-shared")
+    sums = spread_join(slim.where("_size > 0"), many, ["_t1", "_t2"], ["doc_id"]).groupBy("_pattern", "own").agg(F.sum("_size").alias("words"))
+    sums = materialize(sums, "op3-patterns")
+    heavy = sums.groupBy("_pattern").agg(F.sum("words").alias("all")).orderBy(F.desc("all"), "_pattern").limit(most).select("_pattern")
+    patterns: dict = defaultdict(dict)
+    for r in sums.join(F.broadcast(heavy), "_pattern").collect():  # at most `most` patterns
+        patterns[r["_pattern"]][r["own"]] = r["words"]
+    return many.join(F.broadcast(heavy), "_pattern").select("_t1", "_t2", "_pattern"), dict(patterns)
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, whole: bool = False) -> DataFrame:
-    """The documents (doc_id, text, source) with p, _size, _passes, source_size and target.
+    """The documents (doc_id, text, source) with p (source and pattern), _size, _passes, source_size and target.
 
     _passes: how often the mix takes the document. whole: with all columns of docs, else without its text
-    and other columns. A document belongs to its own source; flow() and take() also serve larger patterns.
+    and other columns.
     """
-    own = docs.withColumn("p", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
-    slim = materialize(sized(own.select("doc_id", "text", "source", "p")).drop("text"), "op3-sizes")
-    sums = slim.groupBy("p", "source").agg(F.sum("_size").alias("words")).limit(MOST_PATTERNS + 1).collect()
-    if len(sums) > MOST_PATTERNS:
-        raise ValueError("more sources than are sent to the driver")
-    sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["words"] for r in sums]
-    wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sums))], share, repeats)
-    given = flow({(r["p"],): r["words"] for r in sums}, {r["p"]: int(t) for r, t in zip(sums, wanted, strict=True)}, repeats)
-    rows = []
-    for r, size, target in zip(sums, sizes, wanted, strict=True):
-        left, words = sum(given[(r["p"],)].values()), []
-        for _ in range(repeats):  # cheap passes first
-            words.append(min(left, size))
-            left -= words[-1]
-        rows.append((r["p"], size, target, words))
-    plan = slim.sparkSession.createDataFrame(rows, "p string, source_size long, target double, words array<long>")
-    taken = take(sized(own) if whole else slim, slim, plan.select("p", "words"))
-    return taken.join(F.broadcast(plan.drop("words")), "p").drop("_o")
+    spark = docs.sparkSession
+    slim = materialize(sized(docs.select("doc_id", "text", "source").withColumn("own", _own())).drop("text"), "op3-sizes")
+    sources = numbered(slim.groupBy("own", "source").agg(F.sum("_size").alias("words")))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("i") % len(weights) + 1).cast("int"))
+    sources = materialize(sources.select("own", "source", "words", weight.alias("weight")), "op3-weights")
+    total = share * (sources.agg(F.sum("words")).first()[0] or 0)
+    target = F.least(F.col("words") * float(repeats), F.col("weight") * F.lit(level(sources, total, repeats)))
+    sources = materialize(sources.select("own", F.col("words").alias("source_size"), target.alias("target")), "op3-targets")
+
+    # Patterns of several sources, with what their sources have for themselves.
+    shared, patterns = shared_texts(slim)
+    named = sorted({s for words in patterns.values() for s in words})
+    few = spark.createDataFrame([(s,) for s in named], "own string")
+    held = sources.join(F.broadcast(few), "own").collect()  # at most the sources of MOST_PATTERNS patterns
+    alone = {(r["own"],): {r["own"]: r["source_size"] - sum(w.get(r["own"], 0) for w in patterns.values())} for r in held}
+    given = flow({**alone, **patterns}, {r["own"]: int(r["target"]) for r in held}, repeats)
+    parts = [(p if isinstance(p, str) else "", s, words, given[p][s]) for p, own in {**alone, **patterns}.items() for s, words in own.items()]
+    decided = spark.createDataFrame(parts, "pattern string, own string, words long, flow long")
+    rest = sources.join(F.broadcast(few), "own", "left_anti").select(F.lit("").alias("pattern"), "own", F.col("source_size").alias("words"), F.floor("target").cast("long").alias("flow"))
+    plan = decided.unionByName(rest).select(F.concat("pattern", F.lit(":"), "own").alias("p"), "words", "flow")
+    # Cheap passes first: the first pass over all documents of the class, then the next.
+    passes = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda k: F.greatest(F.lit(0), F.least(F.col("words"), F.col("flow") - k * F.col("words"))))
+    plan = materialize(plan.select("p", passes.cast("array<long>").alias("words")), "op3-flow")
+
+    def classed(rows):
+        if patterns:
+            rows = spread_join(rows, shared, ["_t1", "_t2"], ["doc_id"], "left", hot=hot)
+        else:
+            rows = rows.withColumn("_pattern", F.lit(None).cast("string"))
+        return rows.withColumn("p", F.concat(F.coalesce("_pattern", F.lit("")), F.lit(":"), "own")).drop("_pattern")
+
+    hot = materialize(hot_keys(slim.where("_t1 is not null"), "_t1", "_t2"), "op3-hot") if patterns else None
+    slim = materialize(classed(slim), "op3-classes")
+    rows = classed(sized(docs.withColumn("own", _own()))) if whole else slim
+    return take(rows, slim, plan).join(sources, "own").drop("_o", "_t1", "_t2", "own")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_passes")).alias("taken"))
-
-
-SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1') AS o FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
-w AS (SELECT *, CAST([3, 1, 2][1 + i % 3] AS DOUBLE) AS weight, 2.0::DOUBLE * words AS cap, 1.5::DOUBLE * sum(words) OVER () AS total FROM s),
-r AS (SELECT *, cap / weight AS ratio,
-             CAST(total - coalesce(sum(cap) OVER (ORDER BY cap / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS remaining,
-             CAST(sum(weight) OVER (ORDER BY cap / weight DESC, i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS rest FROM w),
-l AS (SELECT remaining / rest AS level, ratio AS at, i AS from_i FROM r WHERE ratio >= remaining / rest ORDER BY ratio, i LIMIT 1),
-t AS (SELECT r.source, r.words, CASE WHEN l.level IS NULL OR (r.ratio, r.i) < (l.at, l.from_i) THEN r.cap ELSE r.weight * l.level END AS target FROM r LEFT JOIN l ON true),
-q AS (SELECT *, least(CAST(floor(target) AS BIGINT), words) AS first_pass, CAST(floor(target) AS BIGINT) - least(CAST(floor(target) AS BIGINT), words) AS second_pass FROM t),
-c AS (SELECT d.*, q.words, q.target, q.first_pass, q.second_pass,
-             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY o, d.size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, words AS source_size, CAST(target AS DOUBLE) AS target,
-       CAST(size * ((CASE WHEN first_pass > 0 AND 2 * before + size <= 2 * first_pass THEN 1 ELSE 0 END)
-                  + (CASE WHEN second_pass > 0 AND 2 * before + size <= 2 * second_pass THEN 1 ELSE 0 END)) AS BIGINT) AS taken
-FROM c
-"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import op2_suffix, op3_mixing, op4_substring, op8_licenses, op9_urls
+from tessera.llm import op2_suffix, op4_substring, op8_licenses, op9_urls
 from tessera.llm.op1_minhash import op1_minhash_dedup
 from tessera.llm.op2_suffix import op2_suffix_array_dedup
 from tessera.llm.op3_mixing import op3_source_mixing
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_dedup": op2_suffix.SQL, "op3_source_mixing": op3_mixing.SQL, "op4_substring_dedup": op4_substring.SQL, "op8_license_scan": op8_licenses.sql(), "op9_url_filter": op9_urls.SQL}
+    return {"op2_suffix_array_dedup": op2_suffix.SQL, "op4_substring_dedup": op4_substring.SQL, "op8_license_scan": op8_licenses.sql(), "op9_url_filter": op9_urls.SQL}

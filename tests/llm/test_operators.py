@@ -295,24 +295,117 @@ def test_hot_keys_are_spread(spark):
         assert got.count() == got.distinct().count() == n and got.where("v <> k * 10").isEmpty()
 
 
+def plain_flow(patterns, quotas, repeats=2, most_cost=4):
+    """The cost and size of a cheapest flow, by adding one cheapest path of one word after another."""
+    arcs: dict = {}
+
+    def arc(a, b, n, cost):
+        arcs[a, b], arcs.setdefault((b, a), [0, -cost])[0] = [n, cost], 0
+
+    for p, words in patterns.items():
+        step, left = -(-sum(words.values()) // len(words)), repeats * sum(words.values())
+        for k in range(most_cost + 1):
+            n = left if k == most_cost else min(step, left)
+            left -= n
+            arc("start", (p, k), n, k)
+            arc((p, k), p, n, 0)
+        for s, n in words.items():
+            arc(p, s, repeats * n, 0)
+    for s, q in quotas.items():
+        arc(s, "end", q, 0)
+    spent = sent = 0
+    while True:
+        cost, come = {"start": 0}, {}
+        for _ in range(len(arcs)):
+            moved = False
+            for (a, b), (room, c) in arcs.items():
+                if room and a in cost and cost[a] + c < cost.get(b, 1 << 30):
+                    cost[b], come[b], moved = cost[a] + c, a, True
+            if not moved:
+                break
+        if "end" not in cost:
+            return spent, sent
+        b = "end"
+        while b != "start":
+            arcs[come[b], b][0] -= 1
+            arcs[b, come[b]][0] += 1
+            b = come[b]
+        spent, sent = spent + cost["end"], sent + 1
+
+
+def test_flow_is_cheapest():
+    from tessera.llm.op3_mixing import flow
+
+    rng = random.Random(6)
+    for _ in range(60):
+        sources = [f"s{i}" for i in range(rng.randrange(1, 4))]
+        sets = {tuple(sorted(rng.sample(sources, rng.randrange(1, len(sources) + 1)))) for _ in range(4)}
+        patterns = {"+".join(p): {s: rng.randrange(0, 6) for s in p} for p in sets}
+        quotas = {s: rng.randrange(0, 14) for s in sources}
+        got = flow(patterns, quotas)
+        spent = sent = 0
+        for p, words in patterns.items():
+            assert all(0 <= got[p][s] <= 2 * n for s, n in words.items())
+            x, step = sum(got[p].values()), max(-(-sum(words.values()) // len(words)), 1)
+            spent, sent = spent + sum(min(k // step, 4) for k in range(x)), sent + x
+        assert all(sum(g.get(s, 0) for g in got.values()) <= q for s, q in quotas.items())
+        assert (spent, sent) == plain_flow(patterns, quotas)
+
+
+def plain_targets(sizes, weights, share=1.5, repeats=2):
+    """Shares by weight; what is over a cap is dealt again until none is above."""
+    out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), share * sum(sizes)
+    while open_ and left > 1e-9:
+        total, over = sum(weights[i] for i in open_), 0.0
+        for i in list(open_):
+            out[i] += left * weights[i] / total
+            if out[i] >= repeats * sizes[i]:
+                over, out[i] = over + out[i] - repeats * sizes[i], float(repeats * sizes[i])
+                open_.discard(i)
+        left = over
+    return out
+
+
+def test_targets(spark):
+    from tessera.llm.op3_mixing import level, numbered
+
+    rng = random.Random(4)
+    for sizes in ([100, 100, 100], [0, 0], [7], [rng.randrange(1000) ** 2 for _ in range(40)]):
+        names = [f"s{i:03}" for i in range(len(sizes) - 1)] + [None]
+        table = numbered(spark.createDataFrame(list(zip(names, sizes)), "source string, words long"))
+        assert [r["source"] for r in table.orderBy("i").collect()] == names
+        weights = [(3, 1, 2)[i % 3] for i in range(len(sizes))]
+        rows = spark.createDataFrame([(n, float(w)) for n, w in zip(sizes, weights)], "words long, weight double")
+        at = level(rows, 1.5 * sum(sizes), 2)
+        assert np.allclose([min(2.0 * n, w * at) for n, w in zip(sizes, weights)], plain_targets(sizes, weights))
+
+
 def test_mix(spark):
-    from tessera.llm.op3_mixing import flow, mix, targets
+    from tessera.llm.op3_mixing import mix
 
-    assert targets([100, 100, 100], [3, 1, 2]) == [200.0, 250 / 3, 500 / 3]
-    assert targets([0, 0], [1, 1]) == [0.0, 0.0]
-    overlapping = flow({("a",): 100, ("a", "b"): 50}, {"a": 150, "b": 60})
-    assert overlapping[("a",)]["a"] + overlapping[("a", "b")]["a"] == 150 and overlapping[("a", "b")]["b"] == 60
     docs, rows = corpus(spark)
+    rng = random.Random(8)
+    texts = [" ".join(f"t{i}" for _ in range(rng.randrange(1, 30))) for i in range(300)]
+    more = [(100 + i, t, "en", s) for i, t in enumerate(texts) for s in rng.sample(["a", "b", "c", "d", "e"], rng.choice((1, 1, 1, 2, 3)))]
+    docs = docs.unionByName(spark.createDataFrame([(*r, 1, "x", 1, 2, "y", 3) for r in more], SCHEMA))
     got = mix(docs).collect()
-    assert len(got) == len(rows) and all(0 <= r["_passes"] <= 2 for r in got)
-    by = {}
+    assert len(got) == len(rows) + len(more) and all(0 <= r["_passes"] <= 2 for r in got)
+    by: dict = {}
     for r in got:
-        t = by.setdefault(r["source"], [0, r["target"], 0])
+        t = by.setdefault(r["source"], [0, r["target"], 0, 0])
         t[0] += r["_size"] * r["_passes"]
-        t[2] = max(t[2], r["_size"])
-    assert all(abs(taken - target) <= most for taken, target, most in by.values())
-    assert as_rows(mix(docs), "doc_id", "_size", "_passes") == as_rows(mix(docs), "doc_id", "_size", "_passes")
+        t[2] += r["_size"]
+        assert r["source_size"] == sum(x["_size"] for x in got if x["source"] == r["source"]) if t[3] == 0 else True
+        t[3] = 1
+    names = sorted((s for s in by if s is not None)) + [None]
+    assert np.allclose([by[s][1] for s in names], plain_targets([by[s][2] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))]))
+    assert len({r["p"] for r in got}) > 12  # patterns of several sources
+    most = max(r["_size"] for r in got)
+    assert all(abs(taken - target) <= most for taken, target, *_ in by.values()), by
+    assert as_rows(mix(docs), "doc_id", "_size", "_passes") == as_rows(mix(docs.repartition(3)), "doc_id", "_size", "_passes")
     assert mix(docs.limit(0)).count() == 0
+    whole = mix(docs, whole=True).collect()
+    assert as_rows(mix(docs), "doc_id", "_size", "_passes") == sorted(((r["doc_id"], r["_size"], r["_passes"]) for r in whole), key=repr)
 
 
 def test_packing(spark):
