@@ -15,7 +15,8 @@ are ever put in order.
 
 Quotas are computed by aggregations, however many sources there are. The flow is computed on the driver, for
 the MOST_PATTERNS heaviest patterns of several sources; the documents of lighter ones count for their own
-source alone, which meets the same quotas. Patterns of one source need no flow.
+source alone, which meets the same quotas. Patterns of one source need no flow, and make up for what rounding
+to whole documents leaves in the others.
 
 Nulls: a null text has size 0, a null source is a source of its own and the last one, a null doc_id is
 hashed as ''. Equal rows may take each other's place. Texts without words have their own source only. An
@@ -179,14 +180,14 @@ def _own():
 
 def shared_texts(slim: DataFrame, most: int = MOST_PATTERNS) -> tuple[DataFrame, dict]:
     """_t1, _t2, _pattern of the texts that several sources hold; and those patterns' words in each source (own)."""
-    many = slim.where("_size > 0").groupBy("_t1", "_t2").agg(F.sort_array(F.collect_set("own")).alias("of")).where("size(of) > 1")
+    many = slim.where("_size > 0").groupBy("_t1", "_t2").agg(F.sort_array(F.collect_set("_own")).alias("of")).where("size(of) > 1")
     many = materialize(many.select("_t1", "_t2", F.hex(F.xxhash64("of")).alias("_pattern")), "op3-shared")
-    sums = spread_join(slim.where("_size > 0"), many, ["_t1", "_t2"], ["doc_id"]).groupBy("_pattern", "own").agg(F.sum("_size").alias("words"))
+    sums = spread_join(slim.where("_size > 0"), many, ["_t1", "_t2"], ["doc_id"]).groupBy("_pattern", "_own").agg(F.sum("_size").alias("words"))
     sums = materialize(sums, "op3-patterns")
     heavy = sums.groupBy("_pattern").agg(F.sum("words").alias("all")).orderBy(F.desc("all"), "_pattern").limit(most).select("_pattern")
     patterns: dict = defaultdict(dict)
     for r in sums.join(F.broadcast(heavy), "_pattern").collect():  # at most `most` patterns
-        patterns[r["_pattern"]][r["own"]] = r["words"]
+        patterns[r["_pattern"]][r["_own"]] = r["words"]
     return many.join(F.broadcast(heavy), "_pattern").select("_t1", "_t2", "_pattern"), dict(patterns)
 
 
@@ -197,40 +198,50 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats
     and other columns.
     """
     spark = docs.sparkSession
-    slim = materialize(sized(docs.select("doc_id", "text", "source").withColumn("own", _own())).drop("text"), "op3-sizes")
-    sources = numbered(slim.groupBy("own", "source").agg(F.sum("_size").alias("words")))
+    slim = materialize(sized(docs.select("doc_id", "text", "source").withColumn("_own", _own())).drop("text"), "op3-sizes")
+    sources = numbered(slim.groupBy("_own", "source").agg(F.sum("_size").alias("words")))
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("i") % len(weights) + 1).cast("int"))
-    sources = materialize(sources.select("own", "source", "words", weight.alias("weight")), "op3-weights")
+    sources = materialize(sources.select("_own", "source", "words", weight.alias("weight")), "op3-weights")
     total = share * (sources.agg(F.sum("words")).first()[0] or 0)
     target = F.least(F.col("words") * float(repeats), F.col("weight") * F.lit(level(sources, total, repeats)))
-    sources = materialize(sources.select("own", F.col("words").alias("source_size"), target.alias("target")), "op3-targets")
+    sources = materialize(sources.select("_own", F.col("words").alias("source_size"), target.alias("target")), "op3-targets")
 
     # Patterns of several sources, with what their sources have for themselves.
     shared, patterns = shared_texts(slim)
     named = sorted({s for words in patterns.values() for s in words})
-    few = spark.createDataFrame([(s,) for s in named], "own string")
-    held = sources.join(F.broadcast(few), "own").collect()  # at most the sources of MOST_PATTERNS patterns
-    alone = {(r["own"],): {r["own"]: r["source_size"] - sum(w.get(r["own"], 0) for w in patterns.values())} for r in held}
-    given = flow({**alone, **patterns}, {r["own"]: int(r["target"]) for r in held}, repeats)
-    parts = [(p if isinstance(p, str) else "", s, words, given[p][s]) for p, own in {**alone, **patterns}.items() for s, words in own.items()]
-    decided = spark.createDataFrame(parts, "pattern string, own string, words long, flow long")
-    rest = sources.join(F.broadcast(few), "own", "left_anti").select(F.lit("").alias("pattern"), "own", F.col("source_size").alias("words"), F.floor("target").cast("long").alias("flow"))
-    plan = decided.unionByName(rest).select(F.concat("pattern", F.lit(":"), "own").alias("p"), "words", "flow")
-    # Cheap passes first: the first pass over all documents of the class, then the next.
-    passes = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda k: F.greatest(F.lit(0), F.least(F.col("words"), F.col("flow") - k * F.col("words"))))
-    plan = materialize(plan.select("p", passes.cast("array<long>").alias("words")), "op3-flow")
+    few = spark.createDataFrame([(s,) for s in named], "_own string")
+    held = sources.join(F.broadcast(few), "_own").collect()  # at most the sources of MOST_PATTERNS patterns
+    alone = {(r["_own"],): {r["_own"]: r["source_size"] - sum(w.get(r["_own"], 0) for w in patterns.values())} for r in held}
+    quotas = {r["_own"]: int(r["target"]) for r in held}
+    given = flow({**alone, **patterns}, quotas, repeats)
+    # Cheap passes first: the first pass over all documents of a class, then the next.
+    steps = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda k: F.greatest(F.lit(0), F.least(F.col("words"), F.col("flow") - k * F.col("words"))))
+    planned = lambda rows: rows.select(F.concat("pattern", F.lit(":"), "_own").alias("p"), steps.cast("array<long>").alias("words"))
+    columns = "pattern string, _own string, words long, flow long"
+
+    hot = materialize(hot_keys(slim.where("_t1 is not null"), "_t1", "_t2"), "op3-hot") if patterns else None
 
     def classed(rows):
         if patterns:
             rows = spread_join(rows, shared, ["_t1", "_t2"], ["doc_id"], "left", hot=hot)
         else:
             rows = rows.withColumn("_pattern", F.lit(None).cast("string"))
-        return rows.withColumn("p", F.concat(F.coalesce("_pattern", F.lit("")), F.lit(":"), "own")).drop("_pattern")
+        return rows.withColumn("p", F.concat(F.coalesce("_pattern", F.lit("")), F.lit(":"), "_own")).drop("_pattern")
 
-    hot = materialize(hot_keys(slim.where("_t1 is not null"), "_t1", "_t2"), "op3-hot") if patterns else None
     slim = materialize(classed(slim), "op3-classes")
-    rows = classed(sized(docs.withColumn("own", _own()))) if whole else slim
-    return take(rows, slim, plan).join(sources, "own").drop("_o", "_t1", "_t2", "own")
+    plan = planned(spark.createDataFrame([(p, s, n, given[p][s]) for p, words in patterns.items() for s, n in words.items()], columns))
+    if patterns:
+        # Whole documents are taken, so patterns come out a little off; the sources' own documents make up for it.
+        of_patterns = slim.where("not startswith(p, ':')")
+        done = take(of_patterns, of_patterns, plan).groupBy("_own").agg(F.sum(F.col("_size") * F.col("_passes")).alias("words"))
+        for r in done.collect():  # at most the sources of MOST_PATTERNS patterns
+            words = alone[(r["_own"],)][r["_own"]]
+            given[(r["_own"],)][r["_own"]] = min(max(quotas[r["_own"]] - r["words"], 0), repeats * words)
+    mine = planned(spark.createDataFrame([("", s, alone[(s,)][s], given[(s,)][s]) for s in named], columns))
+    rest = planned(sources.join(F.broadcast(few), "_own", "left_anti").select(F.lit("").alias("pattern"), "_own", F.col("source_size").alias("words"), F.floor("target").cast("long").alias("flow")))
+    plan = materialize(plan.unionByName(mine).unionByName(rest), "op3-flow")
+    rows = classed(sized(docs.withColumn("_own", _own()))) if whole else slim
+    return take(rows, slim, plan).join(sources, "_own").drop("_o", "_t1", "_t2", "_own")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

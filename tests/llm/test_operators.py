@@ -404,7 +404,9 @@ def test_mix(spark):
     assert all(abs(taken - target) <= most for taken, target, *_ in by.values()), by
     assert as_rows(mix(docs), "doc_id", "_size", "_passes") == as_rows(mix(docs.repartition(3)), "doc_id", "_size", "_passes")
     assert mix(docs.limit(0)).count() == 0
-    whole = mix(docs, whole=True).collect()
+    extra = docs.withColumns({c: docs["lang"] for c in ("own", "p2", "words", "target2", "i", "flow")})
+    assert set(extra.columns) <= set(mix(extra, whole=True).columns)
+    whole = mix(extra, whole=True).collect()
     assert as_rows(mix(docs), "doc_id", "_size", "_passes") == sorted(((r["doc_id"], r["_size"], r["_passes"]) for r in whole), key=repr)
 
 
