@@ -65,21 +65,24 @@ def with_text_key(docs: DataFrame, *others: str) -> DataFrame:
 HOT, SPREAD, FEW = 1000, 128, 256
 
 
-def hot_keys(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys that hold more than one in HOT of the rows: fewer than HOT, whatever the table's size."""
+def hot_keys(rows: DataFrame, *keys: str) -> list[int]:
+    """Hashes of the keys that hold more than one in HOT of the rows: fewer than HOT, whatever the table's size."""
     most = max(rows.count() // HOT, FEW)
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(f"_rows > {most}").select(*keys)
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(f"_rows > {most}")
+    return [r["h"] for r in found.select(F.xxhash64(*keys).alias("h")).collect()]
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
-    """left joined with right, whose keys are unique; hot keys of left are dealt to several tasks by its columns `by`.
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", hot: list[int] | None = None) -> DataFrame:
+    """left joined with right, whose keys are unique and of the same types; hot keys of left go to several tasks by its columns `by`.
 
-    left is read twice if hot is not given, so it should be a written table. Only the hot keys are sent to every task.
+    left is read twice if hot is not given, so it should be a written table.
     """
-    hot = (hot_keys(left, *keys) if hot is None else hot).withColumn("_hot", F.lit(True))
-    salted = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SPREAD)).cast("int")).otherwise(0)).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    copied = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    hot = hot_keys(left, *keys) if hot is None else hot
+    if not hot:
+        return left.join(right, keys, how)
+    is_hot = F.xxhash64(*keys).isin(hot)
+    salted = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(SPREAD)).cast("int")).otherwise(0))
+    copied = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
     return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, distinct_texts, hot_keys, lists, materialize, mix, read, spread_join, with_text_key
+from tessera.llm.common import FEW, HOT, WORD, distinct_texts, hot_keys, lists, materialize, mix, read, spread_join, with_text_key
 from tessera.llm.windows import gram_hashes, word_pieces
 
 SHINGLE = 5
@@ -164,7 +164,7 @@ def components(links: DataFrame, tag: str) -> DataFrame:
     Every round takes the least label among neighbours, then the label's own label, until nothing changes.
     """
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{tag}-edges")
-    hubs = materialize(hot_keys(edges, "b"), f"{tag}-hubs")
+    hubs = hot_keys(edges, "b")
     labels = edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("c")).select("v", F.least("v", "c").alias("c"))
     labels = materialize(labels, f"{tag}-labels")
     while True:
@@ -249,7 +249,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = lambda: distinct_texts(docs)
     bands = materialize(banded(texts()), "op1-bands", free=True).select("t1", "t2", "n", F.explode("bands").alias("b"))
     shared = materialize(bands.groupBy("b").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "op1-shared")
-    crowds = materialize(shared.where(F.col("rows") > max(shared.agg(F.sum("rows")).first()[0] or 0, 256_000) // 1000).select("b"), "op1-crowds")  # fewer than 1000
+    most = max((shared.agg(F.sum("rows")).first()[0] or 0) // HOT, FEW)
+    crowds = [r["h"] for r in shared.where(F.col("rows") > most).select(F.xxhash64("b").alias("h")).collect()]  # fewer than HOT
     members = materialize(spread_join(bands, shared, ["b"], ["t1"], hot=crowds), "op1-members", free=True)
     wanted = members.select("t1", "t2").distinct()
     sets = materialize(shingle_sets(texts().join(wanted, ["t1", "t2"], "left_semi")), "op1-sets", free=True)

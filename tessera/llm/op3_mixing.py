@@ -219,7 +219,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats
     planned = lambda rows: rows.select(F.concat("pattern", F.lit(":"), "_own").alias("p"), steps.cast("array<long>").alias("words"))
     columns = "pattern string, _own string, words long, flow long"
 
-    hot = materialize(hot_keys(slim.where("_t1 is not null"), "_t1", "_t2"), "op3-hot") if patterns else None
+    hot = hot_keys(slim, "_t1", "_t2") if patterns else None
 
     def classed(rows):
         if patterns:
