@@ -30,11 +30,19 @@ def winners(proposals: DataFrame) -> DataFrame:
 
 
 def converged(proposals: DataFrame) -> DataFrame:
-    """Rounds in which all validators agree."""
+    """Rounds in which all validators' last positions are one set."""
     per = latest_positions(proposals).groupBy("round").agg(F.min("tx_set").alias("tx_set"), F.max("tx_set").alias("top"), F.count(F.lit(1)).alias("validators"))
     return per.where("tx_set = top").select("round", "tx_set", "validators")
 
 
+def set_to_acquire(proposals: DataFrame) -> DataFrame:
+    """round, tx_set, validators of the last round but one, by first proposal, if it has converged; else no row."""
+    begun = proposals.groupBy("round").agg(F.min(F.struct("us", "event_id")).alias("begun"))
+    newest = begun.orderBy(F.desc("begun")).limit(2).agg(F.sort_array(F.collect_list(F.struct("begun", "round"))).alias("two"))
+    asked = newest.where("size(two) = 2").select(F.col("two")[0]["round"].alias("round"))  # one row
+    return converged(proposals.join(F.broadcast(asked), "round"))
+
+
 def tx_set_summary(proposals: DataFrame) -> DataFrame:
     who = F.struct("us", "event_id")
     return proposals.groupBy("round", "tx_set").agg(
@@ -44,8 +52,8 @@ def tx_set_summary(proposals: DataFrame) -> DataFrame:
 
 
 def conflicts(proposals: DataFrame) -> DataFrame:
-    """Validators that proposed different sets in a round."""
-    return proposals.groupBy("round", "validator").agg(F.countDistinct("tx_set").alias("sets")).where("sets > 1")
+    """round, validator, propose_seq, sets: validators that sent different sets under one number of one round."""
+    return proposals.groupBy("round", "validator", "propose_seq").agg(F.countDistinct("tx_set").alias("sets")).where("sets > 1")
 
 
 def packet_stats(packets: DataFrame) -> DataFrame:
@@ -112,8 +120,12 @@ def trusted_only(validations: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def bootstrap(peers: DataFrame, limit: int) -> DataFrame:
-    """The peers to try first."""
-    order = [F.desc("connected_ok"), F.desc("success_count"), F.asc("failure_count"), F.desc("last_seq"), F.asc("first_seq"), F.desc("last_seen_at"), F.asc("endpoint")]
+    """The peers to try first: those that did not fail last, then connected ones, with a known range, with any
+    success, found by most sources, by last success, fewest failures, last seen, most successes, endpoint."""
+    failed_last = F.when((F.col("last_failure_at") > 0) & ((F.col("last_success_at") == 0) | (F.col("last_failure_at") > F.col("last_success_at"))), 1).otherwise(0)
+    known_range = (F.col("first_seq") > 0) & (F.col("last_seq") > 0)
+    sources = F.col("seen_crawl").cast("int") + F.col("seen_endpoints").cast("int") + F.col("seen_redirect").cast("int")
+    order = [failed_last.asc(), F.desc("connected_ok"), known_range.desc(), (F.col("last_success_at") > 0).desc(), sources.desc(), F.desc("last_success_at"), F.asc("failure_count"), F.desc("last_seen_at"), F.desc("success_count"), F.asc("endpoint")]
     return peers.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
@@ -136,19 +148,41 @@ def upsert_peers(peers: DataFrame, events: DataFrame) -> DataFrame:
     return both.select("endpoint", (F.coalesce("success_count", zero) + F.coalesce("s", zero)).alias("success_count"), (F.coalesce("failure_count", zero) + F.coalesce("f", zero)).alias("failure_count"), F.greatest("last_seen_at", "at").alias("last_seen_at"))
 
 
-FAILURES = (("503", "503"), ("403", "403"), ("no route", "no-route"), ("timed out", "timeout"), ("timeout", "timeout"), ("truncated", "truncated"), ("end of file", "eof"), ("eof", "eof"), ("tls", "tls"), ("ssl", "tls"), ("resolve", "dns"), ("dns", "dns"), ("reset", "disconnect"), ("closed", "disconnect"))
+# What a failure's text holds, in order of the tests.
+FAILURES = (
+    ("403", ("status=403", "status: 403", "forbidden")),
+    ("503", ("status=503", "status: 503", "service unavailable")),
+    ("no-route", ("no route to host",)),
+    ("timeout", ("timeout",)),
+    ("truncated", ("stream truncated",)),
+    ("eof", ("end of stream",)),
+    ("tls", ("tls handshake",)),
+    ("dns", ("resolve", "host not found")),
+    ("disconnect", ("disconnected",)),
+)
 
 
 def failure_kind(text, crawl):
-    """The bucket of a failure's text; the first match counts."""
-    kind = F.lit("other")
-    for part, name in reversed(FAILURES):
-        kind = F.when(F.instr(F.lower(text), part) > 0, name).otherwise(kind)
+    """The bucket of a failure's text (null as empty); the first match counts, and an empty text is a disconnect."""
+    lowered, kind = F.lower(F.coalesce(text, F.lit(""))), F.when(F.coalesce(text, F.lit("")) == "", "disconnect").otherwise("other")
+    for name, parts in reversed(FAILURES):
+        kind = F.when(F.greatest(F.lit(0), *(F.instr(lowered, part) for part in parts)) > 0, name).otherwise(kind)
     return F.concat(F.when(crawl, "crawl-").otherwise("connect-"), kind)
 
 
+def recent_failures(events: DataFrame, now: int, seconds: int, endpoints: int) -> DataFrame:
+    """kind, n, top: failures (endpoint, kind, at) of the last seconds by kind, with the endpoints that fail most."""
+    kept = events.where((F.col("at") <= now) & (F.col("at") > now - seconds))
+    each = kept.groupBy("kind", "endpoint").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "endpoint"))
+    top = each.withColumn("rank", rank).where(F.col("rank") <= endpoints).groupBy("kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "endpoint"))), lambda r: r["endpoint"]), ",").alias("top"))
+    return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).join(top, "kind").select("kind", "n", "top")
+
+
 def retry_backoff(failures, base: int = 5, cap: int = 300):
-    return F.least(base * F.pow(F.lit(2), F.least(F.greatest(failures - 1, F.lit(0)), F.lit(6))), F.lit(cap)).cast("long")
+    """Seconds to wait: none without failures, then doubling up to the cap."""
+    waits = F.least(base * F.pow(F.lit(2), F.least(failures - 1, F.lit(6))), F.lit(cap))
+    return F.when(failures == 0, F.lit(0)).otherwise(waits).cast("long")
 
 
 def evict(rows: DataFrame, key: str, used: str, cap: int, group: str) -> DataFrame:

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PRIVATE = r"^(10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|22[4-9]\.|2[3-5][0-9]\.)"
+# IPv4 ranges that are not public.
+PRIVATE = r"^(0\.|10\.|127\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|198\.1[89]\.|192\.0\.2\.|198\.51\.100\.|203\.0\.113\.|22[4-9]\.|2[3-5][0-9]\.)"
 
 
 def host_and_port(endpoint):
@@ -17,8 +18,10 @@ def host_and_port(endpoint):
 
 
 def is_private(host):
-    v6 = F.lower(host).rlike(r"^(::1?$|f[cd]|fe[89ab]|ff|2001:db8:|::ffff:10\.)")
-    return F.when(host.contains(":"), v6).otherwise(host.rlike(PRIVATE))
+    """Whether an address is not public; an IPv4 address in IPv6 form (::ffff:a.b.c.d) counts as the former."""
+    plain = F.regexp_replace(F.lower(host), r"^::ffff:(?=\d+\.)", "")
+    v6 = plain.rlike(r"^(::1?$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|ff[0-9a-f]{2}:|2001:0?db8:)")
+    return F.when(plain.contains(":"), v6).otherwise(plain.rlike(PRIVATE))
 
 
 def ledger_ranges(text):

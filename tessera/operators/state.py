@@ -116,3 +116,14 @@ def floor_of(index: DataFrame, probes: DataFrame) -> DataFrame:
     tagged = index.select(F.col("seq").alias("x"), F.col("seq"), F.lit(0).alias("probe")).unionByName(probes.select(F.col("n").alias("x"), F.lit(None).cast("int").alias("seq"), F.lit(1).alias("probe")))
     last = F.last("seq", ignorenulls=True).over(Window.orderBy("x", "probe").rowsBetween(Window.unboundedPreceding, 0))
     return tagged.withColumn("found", last).where("probe = 1").select(F.col("x").alias("n"), F.col("found").alias("seq"))
+
+
+def probable_members(rows: DataFrame, known: DataFrame, bucket: int = 3, mark: int = 2) -> DataFrame:
+    """rows with probable: whether a fingerprint of their key (hex) is among those of known, never false for a member.
+
+    A key's first digits are its bucket, the next ones its fingerprint there; only those are kept and moved.
+    """
+    parts = lambda df: df.withColumns({"_bucket": F.substring("key", 1, bucket), "_mark": F.substring("key", bucket + 1, mark)})
+    marks = parts(known.select("key")).select("_bucket", "_mark").distinct().withColumn("_there", F.lit(True))
+    found = parts(rows).join(marks, ["_bucket", "_mark"], "left")
+    return found.withColumn("probable", F.col("_there").isNotNull()).drop("_bucket", "_mark", "_there")

@@ -36,7 +36,7 @@ def query(sql: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tessera.plans import catalog_more  # noqa: F401  (registers its own)
+    from tessera.plans import catalog_files, catalog_more  # noqa: F401  (register their own)
 
     return dict(_QUERIES)
 
@@ -206,22 +206,42 @@ def q_merkle_leaf(spark, d):
 
 @query(_state(NEW, "state_b") + ", " + _tree_sql("state_b") + " SELECT hash FROM w_state_b_0")
 def q_merkle_root(spark, d):
-    return merkle.root(state.state_asof(m.delta(spark, d), NEW), DEPTH)
+    return merkle.root(state.state_asof(m.delta(spark, d), NEW))
 
 
-@query(_state(NEW, "state_b") + ", " + _tree_sql("state_b") + " SELECT hash, hash AS computed, true AS valid FROM w_state_b_0")
+def _versions_tree_sql() -> str:
+    """The root of every version's whole state, each tree built on its own, as w_roots (seq, hash)."""
+    zero = "0" * 64
+    parts = [f"""w_i AS (SELECT key, op, data, seq AS since, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS until FROM delta),
+w_{DEPTH} AS (SELECT l.seq, substr(key, 1, {DEPTH}) AS path, sha256('MLN' || data || key) AS hash, key AS leaf FROM w_i JOIN ledgers l ON l.seq >= since AND (until IS NULL OR l.seq < until) WHERE op = 4)"""]
+    for level in range(DEPTH - 1, -1, -1):
+        slots = " || ".join(f"coalesce(max(hash) FILTER (substr(path, {level + 1}, 1) = '{c}'), '{zero}')" for c in "0123456789abcdef")
+        single = f"count(*) = 1 AND max(leaf) IS NOT NULL AND {level} > 0"
+        parts.append(f"w_{level} AS (SELECT seq, substr(path, 1, {level}) AS path, CASE WHEN {single} THEN max(hash) ELSE sha256('MIN' || {slots}) END AS hash, CASE WHEN {single} THEN max(leaf) END AS leaf FROM w_{level + 1} GROUP BY 1, 2)")
+    return ", ".join(parts) + f", w_roots AS (SELECT l.seq, coalesce(r.hash, '{zero}') AS hash FROM ledgers l LEFT JOIN w_0 r ON l.seq = r.seq)"
+
+
+@query(_versions_tree_sql() + " SELECT seq, hash FROM w_roots")
+def q_roots(spark, d):
+    """The root of every version, from what changed."""
+    roots = merkle.root_history(state.validity(m.delta(spark, d)))
+    return merkle.verified(m.ledgers(spark, d).withColumn("stated", F.lit("")), roots).select("seq", F.col("computed").alias("hash"))
+
+
+@query(_versions_tree_sql() + ", w_s AS (SELECT seq, CASE WHEN seq % 7 = 0 THEN lag(hash) OVER (ORDER BY seq) ELSE hash END AS stated, hash AS computed FROM w_roots) SELECT seq, stated, computed, stated = computed AS valid FROM w_s")
 def q_merkle_verify(spark, d):
-    """The root of a state against that of an older one with the difference applied."""
-    stated = merkle.root(state.state_asof(m.delta(spark, d), NEW), DEPTH)
-    rebuilt = state.apply_diff(state.state_asof(m.delta(spark, d), OLD), _diff(spark, d))
-    both = stated.withColumn("one", F.lit(1)).join(merkle.root(rebuilt, DEPTH).select(F.col("hash").alias("computed"), F.lit(1).alias("one")), "one")
-    return both.select("hash", "computed", (F.col("hash") == F.col("computed")).alias("valid"))
+    """Every header's root against that of its state; each seventh header states its parent's root, as a damaged one may."""
+    ledgers, roots = m.ledgers(spark, d).select("seq"), merkle.root_history(state.validity(m.delta(spark, d)))
+    own = merkle.verified(ledgers.withColumn("stated", F.lit("")), roots).select(F.col("seq").alias("of"), F.col("computed").alias("stated"))
+    headers = ledgers.withColumn("of", F.col("seq") - F.when(F.col("seq") % 7 == 0, 1).otherwise(0)).join(own, "of", "left")
+    return merkle.verified(headers.select("seq", "stated"), roots)
 
 
 @query(_state(NEW, "state_b") + ", " + _tree_sql("state_b") + " SELECT path AS branch, hash FROM w_state_b_1")
 def q_top_branch(spark, d):
     """The sixteen subtrees that work on a tree is dealt by."""
-    return merkle.levels(state.state_asof(m.delta(spark, d), NEW), DEPTH)[DEPTH - 1].select(F.col("path").alias("branch"), "hash")
+    s = state.state_asof(m.delta(spark, d), NEW)
+    return merkle.levels(s, merkle.depth_for(s))[-2].select(F.col("path").alias("branch"), "hash")
 
 
 @query(_DIFF + " SELECT * FROM diff_")
@@ -237,7 +257,15 @@ def q_prefix_diff(spark, d):
 @query(_state(NEW, "state_b") + ", " + _tree_sql("state_b") + ", w_k AS (SELECT min(key) AS key FROM state_b) " + " UNION ALL ".join(f"SELECT {i} AS d, path, hash FROM w_state_b_{i}, w_k WHERE length(path) = {i} AND substr(path, 1, {i - 1}) = substr(key, 1, {i - 1}) AND path <> substr(key, 1, {i})" for i in range(1, DEPTH + 1)))
 def q_proof_siblings(spark, d):
     s = state.state_asof(m.delta(spark, d), NEW)
-    return merkle.proof(s, s.agg(F.min("key")).first()[0], DEPTH)
+    return merkle.proof(s, s.agg(F.min("key")).first()[0], merkle.depth_for(s))
+
+
+@query(_state(NEW, "state_b") + ", " + _tree_sql("state_b") + " SELECT hash FROM w_state_b_0")
+def q_proof_root(spark, d):
+    """The root that the proof of the smallest key gives."""
+    s = state.state_asof(m.delta(spark, d), NEW)
+    key, data = s.agg(F.min(F.struct("key", "data"))).first()[0]
+    return merkle.rebuilt_root(merkle.proof(s, key, merkle.depth_for(s)), key, F.sha2(F.lit("MLN" + data + key).cast("binary"), 256))
 
 
 # ---- statistics -----------------------------------------------------------------------------------
@@ -331,9 +359,11 @@ def q_bucket_collisions(spark, d):
     return stats.buckets(m.delta(spark, d), "key", 97).where("entries >= 20").select("bucket", "entries")
 
 
-@query(" SELECT c_custkey AS k, 'orphaned_value' AS problem FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'missing_value' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query(" SELECT c_custkey AS k, 'orphaned_value' AS problem FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 7 <> 0) UNION ALL SELECT DISTINCT o_custkey, 'missing_value' FROM orders WHERE o_custkey % 7 <> 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
 def q_orphans(spark, d):
-    return stats.orphans(m.table(spark, d, "customer").select(F.col("c_custkey").alias("k")), m.table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+    """Values of some customers without a key among the orders, and the other way; each side lacks some on purpose."""
+    values, keys = m.table(spark, d, "customer").where("c_custkey % 10 <> 0"), m.table(spark, d, "orders").where("o_custkey % 7 <> 0")
+    return stats.orphans(values.select(F.col("c_custkey").alias("k")), keys.select(F.col("o_custkey").alias("k")), "k")
 
 
 @query(" SELECT count(*) AS keys, count(*) FILTER (op = 254) AS removals, CAST(sum(coalesce(strlen(data), 0)) AS BIGINT) AS bytes FROM delta")
@@ -362,9 +392,22 @@ def q_winner(spark, d):
     return consensus.winners(m.proposals(spark, d))
 
 
-@query(_LATEST + " SELECT round, min(tx_set) AS tx_set, count(*) AS validators FROM w_l GROUP BY round HAVING count(DISTINCT tx_set) = 1")
+def _agreeing(spark, d, when: str) -> DataFrame:
+    """Proposals whose validators all name one set in some rounds."""
+    return m.proposals(spark, d).withColumn("tx_set", F.expr(f"if({when}, 'same', tx_set)"))
+
+
+_AGREED = "w_p AS (SELECT round, validator, propose_seq, us, event_id, CASE WHEN {} THEN 'same' ELSE tx_set END AS tx_set FROM proposals), w_l AS (SELECT round, validator, tx_set FROM w_p QUALIFY row_number() OVER (PARTITION BY round, validator ORDER BY propose_seq DESC, us DESC, event_id DESC) = 1)"
+
+
+@query(_AGREED.format("round % 3 = 0") + " SELECT round, min(tx_set) AS tx_set, count(*) AS validators FROM w_l GROUP BY round HAVING count(DISTINCT tx_set) = 1")
 def q_converged(spark, d):
-    return consensus.converged(m.proposals(spark, d))
+    return consensus.converged(_agreeing(spark, d, "round % 3 = 0"))
+
+
+@query(_AGREED.format("round % 7 <> 3") + ", w_r AS (SELECT round FROM w_p GROUP BY round ORDER BY min((us, event_id)) DESC LIMIT 1 OFFSET 1) SELECT round, min(tx_set) AS tx_set, count(*) AS validators FROM w_l WHERE round IN (SELECT round FROM w_r) GROUP BY round HAVING count(DISTINCT tx_set) = 1")
+def q_set_to_acquire(spark, d):
+    return consensus.set_to_acquire(_agreeing(spark, d, "round % 7 <> 3"))
 
 
 @query(" SELECT round, tx_set, count(DISTINCT validator) AS validators, min(us) AS first_us, max(us) AS last_us, arg_min(validator, (us, event_id)) AS first_by, arg_max(validator, (us, event_id)) AS last_by, (max(us) - min(us)) // 1000 AS delta_ms FROM proposals GROUP BY 1, 2")
@@ -372,9 +415,10 @@ def q_txset_summary(spark, d):
     return consensus.tx_set_summary(m.proposals(spark, d))
 
 
-@query(" SELECT round, validator, count(DISTINCT tx_set) AS sets FROM proposals GROUP BY 1, 2 HAVING count(DISTINCT tx_set) > 1")
+@query(" SELECT round, validator, (propose_seq + 3) // 4 AS propose_seq, count(DISTINCT tx_set) AS sets FROM proposals GROUP BY 1, 2, 3 HAVING count(DISTINCT tx_set) > 1")
 def q_conflicts(spark, d):
-    return consensus.conflicts(m.proposals(spark, d))
+    """Four proposals in a row are given one number, so that some numbers stand for different sets."""
+    return consensus.conflicts(m.proposals(spark, d).withColumn("propose_seq", F.floor((F.col("propose_seq") + 3) / 4)))
 
 
 @query(" SELECT seq, type, count(*) AS n FROM tx GROUP BY 1, 2")
@@ -445,7 +489,9 @@ def q_sliding(spark, d):
     return hours.select((F.unix_micros(F.col("w.start").cast("timestamp")) / 3_600_000_000).cast("long").alias("hour"), "packets")
 
 
-_PEER_ORDER = "connected_ok DESC, success_count DESC, failure_count, last_seq DESC, first_seq, last_seen_at DESC, endpoint"
+_PEER_ORDER = """CASE WHEN last_failure_at > 0 AND (last_success_at = 0 OR last_failure_at > last_success_at) THEN 1 ELSE 0 END, connected_ok DESC,
+CASE WHEN first_seq > 0 AND last_seq > 0 THEN 1 ELSE 0 END DESC, CASE WHEN last_success_at > 0 THEN 1 ELSE 0 END DESC,
+(CAST(seen_crawl AS INTEGER) + CAST(seen_endpoints AS INTEGER) + CAST(seen_redirect AS INTEGER)) DESC, last_success_at DESC, failure_count, last_seen_at DESC, success_count DESC, endpoint"""
 
 
 @query(f" SELECT *, CAST(row_number() OVER (ORDER BY {_PEER_ORDER}) AS INTEGER) AS rank FROM peers ORDER BY {_PEER_ORDER} LIMIT 25")
@@ -465,14 +511,34 @@ def q_peer_upsert(spark, d):
     return consensus.upsert_peers(m.peers(spark, d), e)
 
 
-@query("w_t AS (SELECT event_type || CASE user_id % 4 WHEN 0 THEN ' timed out' WHEN 1 THEN ' HTTP 503' WHEN 2 THEN ' TLS alert' ELSE ' oops' END AS text, user_id % 2 = 0 AS crawl FROM events) SELECT CASE WHEN crawl THEN 'crawl-' ELSE 'connect-' END || CASE WHEN text LIKE '%503%' THEN '503' WHEN text LIKE '%timed out%' THEN 'timeout' WHEN lower(text) LIKE '%tls%' THEN 'tls' ELSE 'other' END AS kind, count(*) AS n FROM w_t GROUP BY 1")
+# Texts of failures and the kind that each of them is.
+_TEXTS = (
+    ("HTTP status=403 status=503", "403"), ("Forbidden", "403"), ("status: 503 timeout", "503"), ("HTTP 503", "other"), ("503 Service Unavailable", "503"),
+    ("No route to host", "no-route"), ("connect timeout", "timeout"), ("timed out", "other"), ("stream truncated", "truncated"), ("End of stream", "eof"),
+    ("end of file", "other"), ("TLS handshake failed", "tls"), ("TLS alert", "other"), ("could not resolve", "dns"), ("Host not found", "dns"), ("", "disconnect"),
+    ("peer disconnected", "disconnect"), ("connection reset", "other"),
+)
+_TEXTS_SQL = "w_v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{kind}')" for i, (_, kind) in enumerate(_TEXTS)) + f") v(i, kind)), w_t AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'crawl-' ELSE 'connect-' END || kind AS kind, user_id % 50 AS endpoint, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS seen FROM events JOIN w_v ON event_id % {len(_TEXTS)} = i)"
+
+
+def _failures(spark, d) -> DataFrame:
+    text = F.array(*(F.lit(t) for t, _ in _TEXTS))[(F.col("event_id") % len(_TEXTS)).cast("int")]
+    kind = consensus.failure_kind(F.nullif(text, F.lit("")), F.col("user_id") % 2 == 0)
+    return m.table(spark, d, "events").select(kind.alias("kind"), (F.col("user_id") % 50).alias("endpoint"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("at"))
+
+
+@query(_TEXTS_SQL + " SELECT kind, count(*) AS n FROM w_t GROUP BY 1")
 def q_failure_buckets(spark, d):
-    tail = F.when(F.col("user_id") % 4 == 0, " timed out").when(F.col("user_id") % 4 == 1, " HTTP 503").when(F.col("user_id") % 4 == 2, " TLS alert").otherwise(" oops")
-    rows = m.table(spark, d, "events").select(F.concat("event_type", tail).alias("text"), (F.col("user_id") % 2 == 0).alias("crawl"))
-    return rows.groupBy(consensus.failure_kind(F.col("text"), F.col("crawl")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return _failures(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_TEXTS_SQL + ", w_k AS (SELECT * FROM w_t WHERE seen <= 1706745600 AND seen > 1706745600 - 1209600), w_e AS (SELECT kind, endpoint, count(*) AS n, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, endpoint) AS r FROM w_k GROUP BY 1, 2) SELECT kind, CAST(sum(n) AS BIGINT) AS n, string_agg(endpoint, ',' ORDER BY r) FILTER (r <= 3) AS top FROM w_e GROUP BY 1")
+def q_recent_failures(spark, d):
+    """The failures of two weeks by kind, with the three endpoints that fail most."""
+    return consensus.recent_failures(_failures(spark, d), 1_706_745_600, 14 * 86_400, 3)
 
 
-@query(" SELECT endpoint, failure_count, CAST(least(5 * power(2, least(greatest(failure_count - 1, 0), 6)), 300) AS BIGINT) AS backoff FROM peers")
+@query(" SELECT endpoint, failure_count, CASE failure_count WHEN 0 THEN 0 WHEN 1 THEN 5 WHEN 2 THEN 10 WHEN 3 THEN 20 WHEN 4 THEN 40 END AS backoff FROM peers")
 def q_retry_backoff(spark, d):
     return m.peers(spark, d).select("endpoint", "failure_count", consensus.retry_backoff(F.col("failure_count")).alias("backoff"))
 

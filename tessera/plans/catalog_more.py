@@ -10,11 +10,22 @@ from tessera.plans import ledger_model as m
 from tessera.plans.catalog import _state, query
 
 
-@query(" SELECT endpoint, regexp_extract(endpoint, '^(.*):', 1) AS host, CAST(regexp_extract(endpoint, ':([0-9]+)$', 1) AS INTEGER) AS port, endpoint LIKE '10.%' AS private FROM peers")
+# Addresses and whether each is not public.
+_HOSTS = (
+    ("8.8.8.8", False), ("10.1.2.3", True), ("0.1.2.3", True), ("127.0.0.1", True), ("169.254.1.1", True), ("169.253.1.1", False), ("172.16.0.1", True), ("172.32.0.1", False),
+    ("192.168.4.4", True), ("100.64.0.1", True), ("100.128.0.1", False), ("198.18.7.7", True), ("198.20.7.7", False), ("192.0.2.9", True), ("192.0.3.9", False), ("198.51.100.1", True),
+    ("203.0.113.5", True), ("203.0.114.5", False), ("224.0.0.1", True), ("255.255.255.255", True), ("223.255.0.1", False), ("::1", True), ("::", True), ("fe80::1", True), ("fd00::1", True),
+    ("ff02::1", True), ("2001:db8::1", True), ("2001:4860::8", False), ("::ffff:10.0.0.1", True), ("::ffff:8.8.4.4", False),
+)
+
+
+@query("w_h AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{host}', {str(private).lower()})" for i, (host, private) in enumerate(_HOSTS)) + f") v(i, host, private)) SELECT CASE WHEN strpos(host, ':') > 0 THEN '[' || host || ']' ELSE host END || ':' || (50000 + s_suppkey) AS endpoint, host, CAST(50000 + s_suppkey AS INTEGER) AS port, private FROM supplier JOIN w_h ON s_suppkey % {len(_HOSTS)} = i")
 def q_endpoint_class(spark, d):
+    host = F.array(*(F.lit(h) for h, _ in _HOSTS))[(F.col("s_suppkey") % len(_HOSTS)).cast("int")]
+    text = F.concat(F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host), F.lit(":"), (50000 + F.col("s_suppkey")).cast("string"))
+    endpoints = m.table(spark, d, "supplier").select(text.alias("endpoint"))
     host, port = network.host_and_port(F.col("endpoint"))
-    rows = m.peers(spark, d).select("endpoint", host.alias("host"), port.alias("port"))
-    return rows.withColumn("private", network.is_private(F.col("host")))
+    return endpoints.select("endpoint", host.alias("host"), port.alias("port")).withColumn("private", network.is_private(F.col("host")))
 
 
 @query(" SELECT endpoint, unnest([first_seq, last_seq + 100]) AS first, unnest([last_seq, last_seq + 100]) AS last FROM peers")
@@ -30,11 +41,14 @@ def q_route(spark, d):
     return m.ledgers(spark, d).select("seq", name.alias("network"), tx_hash.alias("tx_hash"))
 
 
-@query(" SELECT count(*) AS present, (SELECT count(*) FROM delta WHERE seq <= 40 AND key NOT IN (SELECT key FROM delta WHERE seq <= 20)) AS absent FROM delta WHERE seq <= 40 AND key IN (SELECT key FROM delta WHERE seq <= 20)")
+@query("w_k AS (SELECT DISTINCT key FROM delta WHERE seq <= 20), w_m AS (SELECT DISTINCT substr(key, 1, 5) AS mark FROM w_k), w_r AS (SELECT substr(key, 1, 5) IN (SELECT mark FROM w_m) AS probable, key IN (SELECT key FROM w_k) AS present FROM delta WHERE seq <= 40) SELECT count(*) FILTER (probable) AS probable, count(*) FILTER (present) AS present, count(*) FILTER (probable AND NOT present) AS mistaken, count(*) FILTER (present AND NOT probable) AS missed FROM w_r")
 def q_membership(spark, d):
-    """Membership of keys in an earlier set (a runtime filter may prune the scan; the join decides)."""
-    rows, known = m.delta(spark, d).where("seq <= 40").select("key"), m.delta(spark, d).where("seq <= 20").select("key").distinct().withColumn("known", F.lit(True))
-    return rows.join(known, "key", "left").agg(F.count_if(F.col("known").isNotNull()).alias("present"), F.count_if(F.col("known").isNull()).alias("absent"))
+    """Keys that an earlier set probably holds, by fingerprints in buckets, and how often that is mistaken."""
+    delta = m.delta(spark, d)
+    known = delta.where("seq <= 20").select("key").distinct()
+    rows = state.probable_members(delta.where("seq <= 40").select("key"), known).join(known.withColumn("known", F.lit(True)), "key", "left")
+    rows = rows.withColumn("present", F.col("known").isNotNull())
+    return rows.agg(F.count_if(F.col("probable")).alias("probable"), F.count_if(F.col("present")).alias("present"), F.count_if(F.expr("probable and not present")).alias("mistaken"), F.count_if(F.expr("present and not probable")).alias("missed"))
 
 
 @query(" SELECT seq, key FROM (SELECT seq, key, dense_rank() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM delta) WHERE r <= 2")
@@ -43,11 +57,16 @@ def q_newest_versions(spark, d):
     return m.delta(spark, d).withColumn("r", rank).where("r <= 2").select("seq", "key")
 
 
-@query("w_v AS (SELECT v.validator, p.peer_id, count(*) AS votes FROM validations v JOIN packets p ON v.us = p.us GROUP BY 1, 2) SELECT validator, peer_id, votes FROM w_v WHERE validator = peer_id")
+@query("""w_v AS (SELECT validator, (validator + us // 1000000) % 7 AS peer_id, count(*) AS votes FROM validations WHERE validator <= 40 GROUP BY 1, 2),
+w_o AS (SELECT *, row_number() OVER (ORDER BY votes DESC, validator, peer_id) AS r FROM w_v),
+w_g AS (WITH RECURSIVE g(r, vs, ps, v, p, n) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+  UNION ALL SELECT o.r, CASE WHEN ok THEN list_append(vs, validator) ELSE vs END, CASE WHEN ok THEN list_append(ps, peer_id) ELSE ps END, CASE WHEN ok THEN validator END, CASE WHEN ok THEN peer_id END, CASE WHEN ok THEN votes END
+  FROM (SELECT o.*, g.vs, g.ps, NOT list_contains(g.vs, o.validator) AND NOT list_contains(g.ps, o.peer_id) AS ok FROM g JOIN w_o o ON o.r = g.r + 1) o) SELECT * FROM g)
+SELECT v AS validator, p AS peer_id, n AS votes FROM w_g WHERE v IS NOT NULL""")
 def q_first_delivery_assignment(spark, d):
-    """Each validator's own packets bring its validations, so the assignment maps it to itself."""
-    votes = m.validations(spark, d).join(m.packets(spark, d).select("us", "peer_id"), "us").groupBy("validator", "peer_id").agg(F.count(F.lit(1)).alias("votes"))
-    return network.greedy_assignment(votes)
+    """Forty validators compete for seven peers."""
+    rows = m.validations(spark, d).where("validator <= 40").withColumn("peer_id", (F.col("validator") + F.floor(F.col("us") / 1_000_000)) % 7)
+    return network.greedy_assignment(rows.groupBy("validator", "peer_id").agg(F.count(F.lit(1)).alias("votes")))
 
 
 @query(" SELECT endpoint, bool_or(crawl) AS seen_crawl, bool_or(redirect) AS seen_redirect FROM (SELECT endpoint, true AS crawl, false AS redirect FROM peers WHERE success_count > 2 UNION ALL SELECT endpoint, false, true FROM peers WHERE failure_count > 2) GROUP BY 1")

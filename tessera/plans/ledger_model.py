@@ -99,7 +99,7 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """endpoint, first_seq, last_seq, success_count, failure_count, connected_ok, last_seen_at."""
+    """endpoint, first_seq, last_seq, success_count, failure_count, connected_ok, last_seen_at, last_success_at, last_failure_at, seen_*."""
     s = table(spark, sf_dir, "supplier")
     return s.select(
         F.concat(F.lit("10.0."), (F.col("s_suppkey") % 250).cast("string"), F.lit(":"), (F.lit(50000) + F.col("s_suppkey")).cast("string")).alias("endpoint"),
@@ -109,6 +109,11 @@ def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("s_suppkey") % 5).alias("failure_count"),
         (F.col("s_suppkey") % 3 == 0).alias("connected_ok"),
         (F.lit(1_700_000_000) + F.col("s_suppkey") * 37 % 5000).alias("last_seen_at"),
+        F.when(F.col("s_suppkey") % 7 == 0, 0).otherwise(F.lit(1_700_000_000) + F.col("s_suppkey") * 53 % 11).alias("last_success_at"),
+        F.when(F.col("s_suppkey") % 5 == 0, 0).otherwise(F.lit(1_700_000_000) + F.col("s_suppkey") * 59 % 13).alias("last_failure_at"),
+        (F.col("s_suppkey") % 2 == 0).alias("seen_crawl"),
+        (F.col("s_suppkey") % 3 == 1).alias("seen_endpoints"),
+        (F.col("s_suppkey") % 4 == 1).alias("seen_redirect"),
     )
 
 
@@ -135,5 +140,7 @@ blobs AS (SELECT sha256(data) AS hash, 'state_leaf' AS node_type, CAST(strlen(da
           UNION ALL SELECT tx_id, 'tx_leaf', bytes FROM tx
           UNION ALL SELECT sha256(p_brand), 'state_inner', CAST(strlen(p_brand) AS BIGINT) FROM part),
 peers AS (SELECT '10.0.' || (s_suppkey % 250) || ':' || (50000 + s_suppkey) AS endpoint, CAST(s_nationkey AS BIGINT) AS first_seq, s_nationkey + s_suppkey % 40 AS last_seq,
-                 s_suppkey % 7 AS success_count, s_suppkey % 5 AS failure_count, s_suppkey % 3 = 0 AS connected_ok, 1700000000 + s_suppkey * 37 % 5000 AS last_seen_at FROM supplier)
+                 s_suppkey % 7 AS success_count, s_suppkey % 5 AS failure_count, s_suppkey % 3 = 0 AS connected_ok, 1700000000 + s_suppkey * 37 % 5000 AS last_seen_at,
+                 CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE 1700000000 + s_suppkey * 53 % 11 END AS last_success_at, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 1700000000 + s_suppkey * 59 % 13 END AS last_failure_at,
+                 s_suppkey % 2 = 0 AS seen_crawl, s_suppkey % 3 = 1 AS seen_endpoints, s_suppkey % 4 = 1 AS seen_redirect FROM supplier)
 """

@@ -116,6 +116,11 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ledgers(spark: SparkSession, path: str) -> DataFrame:
+    return ledgers_of(_files(spark, path))
+
+
+def ledgers_of(files: DataFrame) -> DataFrame:
+    """The ledgers of files (path, content)."""
     names = [c.split()[0] for c in LEDGERS.split(", ")]
 
     def run(batches):
@@ -125,12 +130,17 @@ def read_ledgers(spark: SparkSession, path: str) -> DataFrame:
                 frame = pd.DataFrame(rows, columns=names, dtype=object)
                 yield frame.assign(drops=frame["drops"].astype(str))  # unsigned 64 bits
 
-    rows = _files(spark, path).mapInPandas(run, LEDGERS.replace("decimal(20,0)", "string"))
+    rows = files.mapInPandas(run, LEDGERS.replace("decimal(20,0)", "string"))
     return rows.withColumn("drops", F.col("drops").cast("decimal(20,0)"))
 
 
 def read_items(spark: SparkSession, path: str, with_data: bool = True) -> DataFrame:
     """All items; without data where only keys are asked for."""
+    return items_of(_files(spark, path), with_data)
+
+
+def items_of(files: DataFrame, with_data: bool = True) -> DataFrame:
+    """The items of files (path, content)."""
 
     def run(batches):
         for batch in batches:
@@ -145,7 +155,27 @@ def read_items(spark: SparkSession, path: str, with_data: bool = True) -> DataFr
                             rows = []
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in ITEMS.split(", ")])
 
-    return _files(spark, path).mapInPandas(run, ITEMS)
+    return files.mapInPandas(run, ITEMS)
+
+
+def write_files(delta: DataFrame, ledgers: DataFrame, span: int, level: int = 0, network: int = 0) -> DataFrame:
+    """path, content: a file for each `span` versions of a history (seq, key, op, data: text) and its ledgers.
+
+    ledgers: seq, hash, parent_hash (hex), close_time. A file is one task's work and holds its own versions' deltas.
+    """
+    file = lambda df: df.withColumn("file", F.floor(F.col("seq") / span).cast("int"))
+
+    def run(key, heads, rows):
+        parts = []
+        by_seq = dict(tuple(rows.groupby("seq")))
+        for h in heads.sort_values("seq").itertuples():
+            own = by_seq.get(h.seq)
+            items = [] if own is None else [(int(op), bytes.fromhex(k), None if op == REMOVE else v.encode()) for k, op, v in sorted(zip(own["key"], own["op"], own["data"], strict=True))]
+            parent = bytes.fromhex(h.parent_hash) if isinstance(h.parent_hash, str) else bytes(32)
+            parts.append(((int(h.seq), bytes.fromhex(h.hash), bytes(32), bytes(32), parent, 0, 0, 10, int(h.close_time), 0), items, []))
+        return pd.DataFrame({"path": [f"{key[0]}.catalogue"], "content": [build(parts, network, level)]})
+
+    return file(ledgers).groupBy("file").cogroup(file(delta).groupBy("file")).applyInPandas(run, "path string, content binary")
 
 
 def as_delta(items: DataFrame) -> DataFrame:
@@ -154,8 +184,11 @@ def as_delta(items: DataFrame) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path, stored, computed, valid: SHA-512 of each file with the hash field zeroed."""
-    files = _files(spark, path)
+    return hashes_of(_files(spark, path))
+
+
+def hashes_of(files: DataFrame) -> DataFrame:
+    """path, stored, computed, valid: SHA-512 of each file (path, content) with the hash field zeroed."""
     zeroed = F.concat(F.substring("content", 1, 24), F.lit(bytes(64)), F.expr("substring(content, 89)"))
     both = files.select("path", F.lower(F.hex(F.substring("content", 25, 64))).alias("stored"), F.sha2(zeroed, 512).alias("computed"))
     return both.withColumn("valid", F.col("stored") == F.col("computed"))

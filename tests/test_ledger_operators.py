@@ -110,11 +110,50 @@ def test_empty_inputs(spark):
 
 
 def test_failure_buckets(spark):
-    rows = spark.createDataFrame([("HTTP 503 timed out", False), ("Connection timed out", True), ("SSL error", False), ("?", True), (None, False)], "t string, c boolean")
+    texts = [("Status=503 and status: 403", False), ("HTTP 503 timeout", True), ("timed out", True), ("TLS handshake", False), (None, False), ("", True)]
+    rows = spark.createDataFrame(texts, "t string, c boolean")
     got = [r["k"] for r in rows.select(consensus.failure_kind(F.col("t"), F.col("c")).alias("k")).collect()]
-    assert got == ["connect-503", "crawl-timeout", "connect-tls", "crawl-other", "connect-other"]
+    assert got == ["connect-403", "crawl-timeout", "crawl-other", "connect-tls", "connect-disconnect", "crawl-disconnect"]
 
 
 def test_backoff(spark):
     rows = spark.range(0, 10).select(consensus.retry_backoff(F.col("id")).alias("b")).collect()
-    assert [r["b"] for r in rows] == [5, 5, 10, 20, 40, 80, 160, 300, 300, 300]
+    assert [r["b"] for r in rows] == [0, 5, 10, 20, 40, 80, 160, 300, 300, 300]
+
+
+def test_roots_of_every_version(spark):
+    import random
+
+    rng = random.Random(1)
+    keys = [f"{i:x}".rjust(2, "0") + f"{rng.randrange(16**10):010x}" for i in range(40)]
+    keys[1] = keys[0][:11] + ("1" if keys[0][11] != "1" else "2")  # eleven digits in common
+    rows = {(seq, k): (4, str(rng.random())) if rng.random() < 0.7 else (254, None) for seq in range(2, 20) for k in rng.sample(keys, 5)}
+    delta = spark.createDataFrame([(s, k, *v) for (s, k), v in rows.items()], "seq int, key string, op int, data string")
+    roots = merkle.root_history(state.validity(delta))
+    found = {r["seq"]: r["computed"] for r in merkle.verified(spark.range(0, 25).selectExpr("cast(id as int) AS seq", "'' AS stated"), roots).collect()}
+    for seq in (0, 1, 2, 5, 11, 19, 24):
+        assert found[seq] == merkle.root(state.state_asof(delta, seq)).first()["hash"], seq
+
+
+def test_nothing_is_missed_by_fingerprints(spark):
+    rows = spark.range(5000).selectExpr("sha2(cast(id as string), 256) AS key", "id")
+    got = state.probable_members(rows, rows.where("id % 3 = 0"))
+    assert got.where("id % 3 = 0 and not probable").count() == 0 and got.count() == 5000 and 0 < got.where("id % 3 > 0 and probable").count() < 50
+
+
+def test_proofs_give_the_root(spark):
+    import hashlib
+
+    rows = [(hashlib.sha256(str(i).encode()).hexdigest(), f"v{i}", 1) for i in range(60)]
+    rows.append((rows[0][0][:6] + ("0" if rows[0][0][6] != "0" else "1") * 58, "deep", 1))
+    for n in (1, 61):
+        s = spark.createDataFrame(rows[:n], "key string, data string, seq int")
+        want = merkle.root(s).first()["hash"]
+        for key, data, _ in {rows[0], rows[n - 1]}:
+            leaf = F.sha2(F.lit("MLN" + data + key).cast("binary"), 256)
+            proof = merkle.proof(s, key, merkle.depth_for(s))
+            assert merkle.rebuilt_root(proof, key, leaf).first()["hash"] == want
+            assert merkle.rebuilt_root(proof, key, F.sha2(F.lit("other").cast("binary"), 256)).first()["hash"] != want
+            if n > 1:
+                changed = proof.withColumn("hash", F.when(F.col("d") == 1, F.sha2("hash", 256)).otherwise(F.col("hash")))
+                assert merkle.rebuilt_root(changed, key, leaf).first()["hash"] != want
