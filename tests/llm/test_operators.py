@@ -219,11 +219,9 @@ def test_copies_with_other_repeat_counts_are_near(spark):
     assert got == {d: (d - d % 2, 2) for d, _ in rows}
 
 
-def test_near_classes_are_those_of_all_pairs(spark):
-    from tessera.llm.op1_minhash import classes
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    rows = sorted((r["doc_id"], (r["text"] or "").encode().split()) for r in docs.collect())
+def plain_classes(rows) -> dict:
+    """doc_id -> (class, size) of (doc_id, text), by all pairs."""
+    rows = sorted((i, (t or "").encode().split()) for i, t in rows)
     sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for _, w in rows]
     weight = lambda shingles: sum(min(sum(map(len, s)), 255) for s in shingles)
     label = list(range(len(rows)))
@@ -233,7 +231,32 @@ def test_near_classes_are_those_of_all_pairs(spark):
             if common and common >= 0.8 * weight(a | b) - 1e-9 and label[i] != label[k]:
                 low, high = sorted((label[i], label[k]))
                 label = [low if x == high else x for x in label]
-    want = {d: (rows[c][0], label.count(c)) for (d, _), c in zip(rows, label, strict=True)}
+    return {d: (rows[c][0], label.count(c)) for (d, _), c in zip(rows, label, strict=True)}
+
+
+def plain_kept(rows) -> dict:
+    """doc_id -> (words, kept words) of (doc_id, text)."""
+    first: dict = {}
+    texts = [(i, (t or "").encode().split()) for i, t in rows]
+    for i, w in texts:
+        for s in range(len(w) - 12):
+            key = tuple(w[s : s + 13])
+            first[key] = min(first.get(key, i), i)
+    out = {}
+    for i, w in texts:
+        gone = np.zeros(len(w), bool)
+        for s in range(len(w) - 12):
+            if first[tuple(w[s : s + 13])] < i:
+                gone[s : s + 13] = True
+        out[i] = w, [x for x, g in zip(w, gone, strict=True) if not g]
+    return out
+
+
+def test_near_classes_are_those_of_all_pairs(spark):
+    from tessera.llm.op1_minhash import classes
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = plain_classes([tuple(r) for r in docs.collect()])
     assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in classes(docs).collect()} == want
     assert any(n > 1 for _, n in want.values())
 
@@ -657,16 +680,70 @@ def test_media_of_several_images():
     assert len(image) == 1 and (one == payload).all()
 
 
+def plain_score(model, x) -> float:
+    total = model["base"]
+    for j, (cuts, table) in enumerate(zip(model["cuts"], model["tables"], strict=True)):
+        total += table[sum(c <= x[j] for c in cuts)]
+    place = [sum(c <= x[j] for c in cuts) for j, cuts in enumerate(model["coarse"])]
+    for i, j, table in model["pairs"]:
+        total += table[place[i] * 8 + place[j]]
+    return 1 / (1 + np.exp(-total))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tessera.llm.op7_quality import features, fit
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    sizes = []
-    for name, stage in p.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
-        assert tuple(docs.columns) == p.COLUMNS, name
-        docs = spark.createDataFrame(docs.collect(), "doc_id long, text string, lang string, source string, n_chars long")
-        sizes.append(docs.count())
-    assert 0 < sizes[2] <= sizes[1] <= sizes[0] <= 200
-    assert p.STAGES[-1][1](spark, docs, sf).count() > 0
+    stages, schema = dict(p.STAGES), "doc_id long, text string, lang string, source string, n_chars long"
+
+    def step(name, docs):
+        out = stages[name](spark, docs, sf)
+        assert tuple(out.columns) == p.COLUMNS, name
+        return spark.createDataFrame(out.collect(), schema)
+
+    given = {r["doc_id"]: r for r in docs.collect()}
+    model = fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    good = step("quality", docs)
+    want = {i for i, r in given.items() if plain_score(model, features(pa.array([r["text"] or ""]))[0]) >= 0.5}
+    assert {r["doc_id"] for r in good.collect()} == want and 0 < len(want) < len(given)
+
+    apart = step("near_dedup", good)
+    classes = plain_classes([(r["doc_id"], r["text"]) for r in good.collect()])
+    assert sorted(r["doc_id"] for r in apart.collect()) == sorted({c for c, _ in classes.values()})
+
+    clean = step("substring_dedup", apart)
+    kept = plain_kept([(r["doc_id"], r["text"]) for r in apart.collect()])
+    want = {i: given[i]["text"] if len(w) == len(k) else b" ".join(k).decode() for i, (w, k) in kept.items() if k or not w}
+    assert {r["doc_id"]: r["text"] for r in clean.collect()} == want
+
+    mixed = step("source_mix", clean)
+    size = lambda t: len((t or "").encode().split())
+    rows, taken = clean.collect(), mixed.collect()
+    names = sorted({r["source"] for r in rows})
+    held = [sum(size(r["text"]) for r in rows if r["source"] == s) for s in names]
+    for s, target in zip(names, plain_targets(held, [(3, 1, 2)[i % 3] for i in range(len(names))]), strict=True):
+        most = max(size(r["text"]) for r in rows if r["source"] == s)
+        assert abs(sum(size(r["text"]) for r in taken if r["source"] == s) - target) <= most
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r["doc_id"]: np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4") for r in rows}
+    pieces = stages["packing"](spark, mixed, sf).collect()
+    assert sum(r["length"] for r in pieces) == sum(len(ids[r["doc_id"]]) for r in taken)
+    assert all(zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in pieces)
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    import corpus_pipeline as p
+
+    docs, _ = corpus(spark, 500)
+    for name, stage in p.STAGES:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, "/root/testdata/sf0.001")
+            n = out.count()
+            assert n == 0 if table is not docs else n > 0 or name == "quality", name
