@@ -55,8 +55,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("source_mix", source_mix), ("packing", packing)]
 
-#: Training, signatures and tokenizing are no SQL. Tests hold operators 1, 4 and 5 against plain versions and the
-#: stages' row counts to bounds; the chain run() is not held against a brute-force version.
+#: Training, signatures, the flow and tokenizing are no SQL. A test holds the score, near-dedup, substring dedup, the
+#: mix's totals and the packed ids against plain versions on the rows of the stage before.
 ORACLE_SQL = None
 
 
