@@ -32,15 +32,17 @@ def depth_for(state: DataFrame) -> int:
     """A depth at which all keys differ; raises if they do not (keys repeat, or are far from random)."""
     n = state.count()
     depth = min(64, 2 + math.ceil(2 * math.log(max(n, 1), 16)) + 2)
-    if state.select(F.substring("key", 1, depth).alias("p")).groupBy("p").count().where("count > 1").limit(1).count():
-        depth = 64
-        if state.groupBy("key").count().where("count > 1").limit(1).count():
+    while state.select(F.substring("key", 1, depth).alias("p")).groupBy("p").count().where("count > 1").limit(1).count():
+        if depth == 64:
             raise ValueError("a key is there twice")
+        depth = min(64, depth + 4)
     return depth
 
 
-def levels(state: DataFrame, depth: int, algo: str = "sha256", deal: int = 2) -> list[DataFrame]:
-    """For each level from `depth` - 1 up to 0: path (of that length), hash, leaf (the key of a single leaf, or null).
+def levels(state: DataFrame, depth: int, algo: str = "sha256", deal: int = 2, children: bool = False) -> list[DataFrame]:
+    """For each level from `depth` up to 0: path (of that length), hash, leaf (the key of a single leaf, or null).
+
+    With children, levels above the first also have slots: an inner node's 16 hashes, null for a single leaf.
 
     Rows are dealt once by their first `deal` digits. All levels below group by those digits and the path,
     for which that is already the right distribution, so only the top levels (16**deal rows) move again.
@@ -48,6 +50,7 @@ def levels(state: DataFrame, depth: int, algo: str = "sha256", deal: int = 2) ->
     own = leaves(state, algo)
     nodes = own.select(F.substring("key", 1, depth).alias("path"), "hash", F.col("key").alias("leaf"), F.substring("key", 1, deal).alias("part")).repartition("part")
     out = [nodes.drop("part")]
+    digits = "0123456789abcdef"
     for d in range(depth - 1, -1, -1):
         keys = ["part"] if d >= deal else []
         grouped = nodes.groupBy(*keys, F.substring("path", 1, d).alias("parent")).agg(
@@ -56,9 +59,9 @@ def levels(state: DataFrame, depth: int, algo: str = "sha256", deal: int = 2) ->
             F.min("leaf").alias("leaf"),
             F.min("hash").alias("only"),
         )
-        slots = [F.coalesce(F.try_element_at("at", F.lit(c)), F.lit(ZERO)) for c in "0123456789abcdef"]
+        slots = [F.coalesce(F.try_element_at("at", F.lit(c)), F.lit(ZERO)) for c in digits]
         single = (F.col("n") == 1) & F.col("leaf").isNotNull() & F.lit(d > 0)
-        nodes = grouped.select(*keys, F.col("parent").alias("path"), F.when(single, F.col("only")).otherwise(_hash(algo, F.lit("MIN"), *slots)).alias("hash"), F.when(single, F.col("leaf")).alias("leaf"))
+        nodes = grouped.select(*keys, F.col("parent").alias("path"), F.when(single, F.col("only")).otherwise(_hash(algo, F.lit("MIN"), *slots)).alias("hash"), F.when(single, F.col("leaf")).alias("leaf"), *([F.when(~single, F.array(*slots)).alias("slots")] if children else []))
         out.append(nodes.drop("part"))
     return out
 

@@ -127,3 +127,18 @@ def probable_members(rows: DataFrame, known: DataFrame, bucket: int = 3, mark: i
     marks = parts(known.select("key")).select("_bucket", "_mark").distinct().withColumn("_there", F.lit(True))
     found = parts(rows).join(marks, ["_bucket", "_mark"], "left")
     return found.withColumn("probable", F.col("_there").isNotNull()).drop("_bucket", "_mark", "_there")
+
+
+def rekeyed(rows: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
+    """rows with the keys that a mapping (old_key, new_key) replaces put right, once a mapping comes after its rows.
+
+    Of several new keys for an old one the largest counts. Keys that are not mapped stay.
+    """
+    last = mapping.groupBy(F.col("old_key").alias(key)).agg(F.max("new_key").alias("_new"))
+    return rows.join(last, key, "left").withColumn(key, F.coalesce("_new", key)).drop("_new")
+
+
+def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows of the smallest hash of their key and a seed (a top-k, the same for every partitioning; all, if fewer)."""
+    place = F.sha2(F.concat(F.lit(f"sample {seed} "), F.col(key).cast("string")).cast("binary"), 256)
+    return rows.orderBy(place, key).limit(n)

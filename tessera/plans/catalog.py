@@ -36,7 +36,7 @@ def query(sql: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tessera.plans import catalog_files, catalog_more, catalog_peers  # noqa: F401  (register their own)
+    from tessera.plans import catalog_files, catalog_more, catalog_nodes, catalog_peers, catalog_proofs  # noqa: F401  (register their own)
 
     return dict(_QUERIES)
 

@@ -43,3 +43,17 @@ def _there(spark: SparkSession, path: str) -> bool:
 def fetch_node(spark: SparkSession, path: str, node_hash: str) -> DataFrame:
     """One node; only its bucket is read."""
     return spark.read.parquet(path).where((F.col("bucket") == node_hash[0]) & (F.col("hash") == node_hash)).drop("bucket")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, made once for plans that read it many times: written to spark.checkpoint.dir, or cached where that is not set.
+
+    Both survive a lost executor: what was written is shared, what was cached is made again.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
