@@ -9,12 +9,17 @@ for weights that belong to shingles is the weight of the common shingles over th
 components propose pairs; exactly that measure, 0.8 or more, decides. How often a text repeats a shingle does
 not count: copies that repeat a line a different number of times are still copies.
 
-Exact copies are one text from the start. No bucket's pairs are listed. First every bucket's members meet
+Exact copies are one text from their bands on. No bucket's pairs are listed. First every bucket's members meet
 one centre (the member with most company in all its buckets), and the links found make components. Only
-buckets that still hold several components are looked at again, in blocks of bounded size: a task computes
-the weights of all common sets by a product of membership matrices, and sends on one link for each member
-that it connects. So every pair of a bucket is compared or known to be connected, and no link is lost.
-Keys that hold a large share of the rows (buckets, centres, classes, copies) are dealt to many tasks.
+buckets whose other members are still of several components are looked at again, without the centre, in blocks
+of bounded size: a task computes the weights of all common sets by a product of membership matrices, and sends
+on one link for each member that it connects. So every pair of a bucket is compared or known to be connected,
+and no link is lost. Keys that hold a large share of the rows (buckets, centres, classes, copies) are dealt to
+many tasks.
+
+Texts are exchanged only if they share a band, and bands only if their bucket has company. What cannot be
+wanted is left out by a table of bits that all tasks hold (8 MB at most); exact joins follow, so a bit that is
+set by chance costs an exchanged row and changes nothing.
 
 Nulls count as empty texts; texts without words are linked to nothing, not to each other. Texts of one to
 four words have one shingle of all words. A class is named by its smallest doc_id (null if it has none).
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import FEW, HOT, WORD, distinct_texts, hot_keys, lists, materialize, mix, read, spread_join, with_text_key
+from tessera.llm.common import FEW, HOT, WORD, hot_keys, lists, materialize, mix, read, spread_join, with_text_key
 from tessera.llm.windows import gram_hashes, word_pieces
 
 SHINGLE = 5
@@ -38,6 +43,8 @@ COMPONENTS = 331  # a prime of at least BANDS * ROWS
 THRESHOLD = 0.8
 #: Members of a bucket that meet in one task (twice as many where two blocks meet).
 BLOCK = 1536
+#: Bits of a sieve at most: 8 MB, of which 7 million keys set a tenth.
+SIEVE = 1 << 26
 
 
 #: The low bits of an element hold its weight, the others its shingle's hash.
@@ -114,10 +121,10 @@ def signatures(unit: np.ndarray, elements: np.ndarray, weights: np.ndarray, n: i
 
 
 def banded(texts: DataFrame) -> DataFrame:
-    """t1, t2, n (the weight of its shingles) and bands (a hash for each band) of texts that have words."""
+    """t1, t2, n (the weight of its shingles) and bands (a hash for each band) of each different text that has words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in map(different_texts, batches):
             for rows, unit, elements in shingles(batch["text"]):
                 weights = weights_of(elements)
                 many = np.bincount(unit, weights, len(rows)).astype(np.int64)
@@ -130,7 +137,59 @@ def banded(texts: DataFrame) -> DataFrame:
                 take = pa.array(rows[some])
                 yield pa.record_batch([batch["t1"].take(take), batch["t2"].take(take), pa.array(many[some]), lists(bands.ravel().view(np.int64), np.full(len(some), BANDS), pa.int64())], names=["t1", "t2", "n", "bands"])
 
-    return texts.mapInArrow(run, "t1 long, t2 long, n long, bands array<long>")
+    found = texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, n long, bands array<long>")
+    return found.groupBy("t1", "t2").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))  # copies have equal ones
+
+
+def different_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One row of the batch for each t1, t2."""
+    t1, t2 = (batch[c].to_numpy() for c in ("t1", "t2"))
+    order = np.lexsort((t2, t1))
+    same = (t1[order][1:] == t1[order][:-1]) & (t2[order][1:] == t2[order][:-1])
+    return batch.take(pa.array(np.sort(order[np.r_[True, ~same]]))) if same.any() else batch
+
+
+def sieve(keys: DataFrame) -> np.ndarray:
+    """A bit set for each key (one column of hashes) by its low end, among 16 bits or more for each; SIEVE at most."""
+    keys = keys.toDF("k")
+    bits = min(SIEVE, 1 << (16 * keys.count() + 64).bit_length())
+    at = F.col("k").bitwiseAND(F.lit(bits - 1))
+    words = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 AS int))")).alias("w")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words["at"].to_numpy()] = words["w"].to_numpy()
+    return out
+
+
+def passes(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys a sieve lets through: all that it was made of, and a few others."""
+    at = keys & (len(held) * 64 - 1)
+    return (held[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def bands_in(bands: DataFrame, keys: DataFrame) -> DataFrame:
+    """t1, t2, n, b of the bands that are among the keys (and a few others)."""
+    held = bands.sparkSession.sparkContext.broadcast(sieve(keys))
+
+    def run(batches):
+        for batch in batches:
+            b = batch["bands"].flatten().to_numpy()
+            at = np.flatnonzero(passes(held.value, b))
+            take = pa.array(at // BANDS)
+            yield pa.record_batch([batch[c].take(take) for c in ("t1", "t2", "n")] + [pa.array(b[at])], names=["t1", "t2", "n", "b"])
+
+    return bands.select("t1", "t2", "n", "bands").mapInArrow(run, "t1 long, t2 long, n long, b long")
+
+
+def texts_in(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """t1, t2, text of the different texts whose t1 and t2 are wanted."""
+    held = texts.sparkSession.sparkContext.broadcast(sieve(wanted.select("t1")))
+
+    def run(batches):
+        for batch in batches:
+            yield different_texts(batch.filter(pa.array(passes(held.value, batch["t1"].to_numpy()))))
+
+    some = texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, text string")
+    return some.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(wanted, ["t1", "t2"], "left_semi")
 
 
 def gram_hashes_rows(x: np.ndarray) -> np.ndarray:
@@ -246,31 +305,32 @@ def _met(open_: DataFrame, threshold: float) -> DataFrame:
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """v, c: texts (as t1-t2 in hex) that share a band with another, with their component (the least v in it)."""
-    texts = lambda: distinct_texts(docs)
-    bands = materialize(banded(texts()), "op1-bands", free=True).select("t1", "t2", "n", F.explode("bands").alias("b"))
-    shared = materialize(bands.groupBy("b").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "op1-shared")
+    texts = with_text_key(docs)
+    bands = materialize(banded(texts), "op1-bands", free=True)
+    shared = bands.select(F.explode("bands").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("rows"))
+    shared = materialize(shared.where("rows > 1"), "op1-shared", free=True)
     most = max((shared.agg(F.sum("rows")).first()[0] or 0) // HOT, FEW)
     crowds = [r["h"] for r in shared.where(F.col("rows") > most).select(F.xxhash64("b").alias("h")).collect()]  # fewer than HOT
-    members = materialize(spread_join(bands, shared, ["b"], ["t1"], hot=crowds), "op1-members", free=True)
-    wanted = members.select("t1", "t2").distinct()
-    sets = materialize(shingle_sets(texts().join(wanted, ["t1", "t2"], "left_semi")), "op1-sets", free=True)
+    members = materialize(spread_join(bands_in(bands, shared.select("b")), shared, ["b"], ["t1"], hot=crowds), "op1-members", free=True)
+    sets = materialize(shingle_sets(texts_in(texts, members.select("t1", "t2").distinct())), "op1-sets", free=True)
     members = members.select("b", _id().alias("id"), "n", "rows")
     company = members.groupBy("id").agg(F.sum("rows").alias("w"))
     members = materialize(members.join(company, "id").select("b", "id", "n", "rows", "w"), "op1-company")
 
     # Each bucket's members against its centre.
     centres = members.groupBy("b").agg(F.min(F.struct((-F.col("w")).alias("o"), "id", "n")).alias("m"))
-    pairs = spread_join(members, centres, ["b"], ["id"], hot=crowds).where("id <> m.id")
-    pairs = pairs.select(F.least("id", "m.id").alias("a"), F.greatest("id", "m.id").alias("b"), F.least("n", "m.n").alias("low"), F.greatest("n", "m.n").alias("high"))
+    others = spread_join(members, centres, ["b"], ["id"], hot=crowds).where("id <> m.id")
+    others = materialize(others.select("b", "id", "n", "rows", F.col("m.id").alias("centre"), F.col("m.n").alias("n_centre")), "op1-others")
+    pairs = others.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), F.least("n", "n_centre").alias("low"), F.greatest("n", "n_centre").alias("high"))
     pairs = materialize(pairs.where(f"low >= {threshold} * high - 1e-9").select("a", "b").distinct(), "op1-pairs")
     both = spread_join(pairs, sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), ["a"], ["b"])
     both = spread_join(both, sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), ["b"], ["a"], hot=hot_keys(pairs, "b"))
-    links = materialize(_similar(both, threshold), "op1-links")
+    links = materialize(_similar(both, threshold), "op1-links", free=True)
     labels = members.select(F.col("id").alias("v")).distinct().join(components(links, "op1-first"), "v", "left").select("v", F.coalesce("c", "v").alias("c"))
     labels = materialize(labels, "op1-labels", free=True)
 
-    # Buckets that hold several components, in blocks.
-    known = members.join(labels, members["id"] == labels["v"]).select("b", "id", "rows", "c")
+    # Buckets that hold several components besides the centre, which has met all of them, in blocks.
+    known = others.join(labels, others["id"] == labels["v"]).select("b", "id", "rows", "c")
     several = known.groupBy("b").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("b")
     many = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = spread_join(known, several, ["b"], ["id"], hot=crowds).withColumn("many", many).withColumn("x", F.pmod(F.xxhash64("id"), F.col("many")).cast("int"))
