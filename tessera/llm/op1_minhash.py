@@ -9,7 +9,7 @@ for weights that belong to shingles is the weight of the common shingles over th
 components propose pairs; exactly that measure, 0.8 or more, decides. How often a text repeats a shingle does
 not count: copies that repeat a line a different number of times are still copies.
 
-Exact copies are one text from their bands on. No bucket's pairs are listed. First every bucket's members meet
+Exact copies are one text from the start. No bucket's pairs are listed. First every bucket's members meet
 one centre (the member with most company in all its buckets), and the links found make components. Only
 buckets whose other members are still of several components are looked at again, without the centre, in blocks
 of bounded size: a task computes the weights of all common sets by a product of membership matrices, and sends
@@ -17,9 +17,9 @@ on one link for each member that it connects. So every pair of a bucket is compa
 and no link is lost. Keys that hold a large share of the rows (buckets, centres, classes, copies) are dealt to
 many tasks.
 
-Texts are exchanged only if they share a band, and bands only if their bucket has company. What cannot be
-wanted is left out by a table of bits that all tasks hold (8 MB at most); exact joins follow, so a bit that is
-set by chance costs an exchanged row and changes nothing.
+Bands are exchanged with their texts' keys only if their bucket has company. Others are left out by a table of
+bits that all tasks hold (8 MB at most); an exact join follows, so a bit that is set by chance costs an exchanged
+row and changes nothing.
 
 Nulls count as empty texts; texts without words are linked to nothing, not to each other. Texts of one to
 four words have one shingle of all words. A class is named by its smallest doc_id (null if it has none).
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import FEW, HOT, WORD, hot_keys, lists, materialize, mix, read, spread_join, with_text_key
+from tessera.llm.common import FEW, HOT, WORD, distinct_texts, hot_keys, lists, materialize, mix, read, spread_join, with_text_key
 from tessera.llm.windows import gram_hashes, word_pieces
 
 SHINGLE = 5
@@ -121,10 +121,10 @@ def signatures(unit: np.ndarray, elements: np.ndarray, weights: np.ndarray, n: i
 
 
 def banded(texts: DataFrame) -> DataFrame:
-    """t1, t2, n (the weight of its shingles) and bands (a hash for each band) of each different text that has words."""
+    """t1, t2, n (the weight of its shingles) and bands (a hash for each band) of texts that have words."""
 
     def run(batches):
-        for batch in map(different_texts, batches):
+        for batch in batches:
             for rows, unit, elements in shingles(batch["text"]):
                 weights = weights_of(elements)
                 many = np.bincount(unit, weights, len(rows)).astype(np.int64)
@@ -137,16 +137,7 @@ def banded(texts: DataFrame) -> DataFrame:
                 take = pa.array(rows[some])
                 yield pa.record_batch([batch["t1"].take(take), batch["t2"].take(take), pa.array(many[some]), lists(bands.ravel().view(np.int64), np.full(len(some), BANDS), pa.int64())], names=["t1", "t2", "n", "bands"])
 
-    found = texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, n long, bands array<long>")
-    return found.groupBy("t1", "t2").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))  # copies have equal ones
-
-
-def different_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """One row of the batch for each t1, t2."""
-    t1, t2 = (batch[c].to_numpy() for c in ("t1", "t2"))
-    order = np.lexsort((t2, t1))
-    same = (t1[order][1:] == t1[order][:-1]) & (t2[order][1:] == t2[order][:-1])
-    return batch.take(pa.array(np.sort(order[np.r_[True, ~same]]))) if same.any() else batch
+    return texts.mapInArrow(run, "t1 long, t2 long, n long, bands array<long>")
 
 
 def sieve(keys: DataFrame) -> np.ndarray:
@@ -180,18 +171,6 @@ def bands_in(bands: DataFrame, keys: DataFrame) -> DataFrame:
     return bands.select("t1", "t2", "n", "bands").mapInArrow(run, "t1 long, t2 long, n long, b long")
 
 
-def texts_in(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """t1, t2, text of the different texts whose t1 and t2 are wanted."""
-    held = texts.sparkSession.sparkContext.broadcast(sieve(wanted.select("t1")))
-
-    def run(batches):
-        for batch in batches:
-            yield different_texts(batch.filter(pa.array(passes(held.value, batch["t1"].to_numpy()))))
-
-    some = texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, text string")
-    return some.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(wanted, ["t1", "t2"], "left_semi")
-
-
 def gram_hashes_rows(x: np.ndarray) -> np.ndarray:
     """One hash for each row."""
     out = np.zeros(len(x), np.uint64)
@@ -305,14 +284,14 @@ def _met(open_: DataFrame, threshold: float) -> DataFrame:
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """v, c: texts (as t1-t2 in hex) that share a band with another, with their component (the least v in it)."""
-    texts = with_text_key(docs)
-    bands = materialize(banded(texts), "op1-bands", free=True)
+    texts = lambda: distinct_texts(docs)
+    bands = materialize(banded(texts()), "op1-bands", free=True)
     shared = bands.select(F.explode("bands").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("rows"))
     shared = materialize(shared.where("rows > 1"), "op1-shared", free=True)
     most = max((shared.agg(F.sum("rows")).first()[0] or 0) // HOT, FEW)
     crowds = [r["h"] for r in shared.where(F.col("rows") > most).select(F.xxhash64("b").alias("h")).collect()]  # fewer than HOT
     members = materialize(spread_join(bands_in(bands, shared.select("b")), shared, ["b"], ["t1"], hot=crowds), "op1-members", free=True)
-    sets = materialize(shingle_sets(texts_in(texts, members.select("t1", "t2").distinct())), "op1-sets", free=True)
+    sets = materialize(shingle_sets(texts().join(members.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi")), "op1-sets", free=True)
     members = members.select("b", _id().alias("id"), "n", "rows")
     company = members.groupBy("id").agg(F.sum("rows").alias("w"))
     members = materialize(members.join(company, "id").select("b", "id", "n", "rows", "w"), "op1-company")

@@ -219,28 +219,17 @@ def test_copies_with_other_repeat_counts_are_near(spark):
     assert got == {d: (d - d % 2, 2) for d, _ in rows}
 
 
-def shuffled(spark, after=-1) -> tuple[int, int]:
-    """The last stage, and the bytes that stages later than the given one have written for exchanges."""
-    sc = spark.sparkContext
-    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
-    stages = store.stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
-    stages = [stages.apply(i) for i in range(stages.size())]
-    return max([after, *(x.stageId() for x in stages)]), sum(x.shuffleWriteBytes() for x in stages if x.stageId() > after)
-
-
-def test_texts_without_company_are_not_exchanged(spark):
-    from tessera.llm.op1_minhash import classes
+def test_bands_without_company_are_not_exchanged(spark, monkeypatch):
+    from tessera.llm import op1_minhash
 
-    rng = random.Random(21)
-    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
-    texts = [" ".join(word() for _ in range(1500)) for _ in range(400)]
-    rows = [*enumerate(texts), *((400 + i, t + " end") for i, t in enumerate(texts[:4])), *((404 + i, t) for i, t in enumerate(texts[4:8]))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    before, _ = shuffled(spark)
-    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in classes(docs).collect()}
-    _, moved = shuffled(spark, before)
-    assert got == {d: (d - 400, 2) if d >= 400 else (d, 1 + (d < 8)) for d, _ in rows}
-    assert 0 < moved < sum(len(t) for t in texts) / 2
+    sent = []
+    count = lambda left, right, keys, by, *a, real=op1_minhash.spread_join, **k: (by == ["t1"] and sent.append(left.count()), real(left, right, keys, by, *a, **k))[1]
+    monkeypatch.setattr(op1_minhash, "spread_join", count)
+    texts = [" ".join(f"u{i}x{j}" for j in range(60)) for i in range(200)]
+    rows = [*enumerate(texts), *((200 + i, t + " end") for i, t in enumerate(texts[:4])), *((204 + i, t) for i, t in enumerate(texts[4:8]))]
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in op1_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: (d - 200, 2) if d >= 200 else (d, 1 + (d < 8)) for d, _ in rows}
+    assert len(sent) == 1 and 0 < sent[0] < 204 * op1_minhash.BANDS / 5
 
 
 def test_pairs_that_met_as_centre_and_member_do_not_meet_again(spark, monkeypatch):
@@ -254,7 +243,7 @@ def test_pairs_that_met_as_centre_and_member_do_not_meet_again(spark, monkeypatc
         own = [f"u{i}x{j}" for j in range(200)]
         rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[:162], *(f"v{i}x{j}" for j in range(38))]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    shared = op1_minhash.materialize(op1_minhash.banded(op1_minhash.with_text_key(docs)), "bands").selectExpr("explode(bands) AS b").groupBy("b").count().where("count > 1")
+    shared = op1_minhash.materialize(op1_minhash.banded(op1_minhash.distinct_texts(docs)), "bands").selectExpr("explode(bands) AS b").groupBy("b").count().where("count > 1")
     assert shared.count() > 30
     assert {(r["doc_id"], r["class_size"]) for r in op1_minhash.classes(docs).collect()} == {(d, 1) for d, _ in rows}
     assert met == [0]
